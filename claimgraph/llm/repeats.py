@@ -31,13 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_rows, tune, written
+from .common import as_bytes, map_rows, trim, tune, written
 from .suffix_sort import suffix_order
 
 WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 8 << 20
-SHARD_TEXT_BYTES = 8 << 20
+SHARD_TEXT_BYTES = 5 << 20
 SLICE_BYTES = 64 << 20
 PIECE = 1 << 20
 BROADCAST_BYTES = 24 << 20
@@ -152,7 +152,7 @@ class Shard:
     """The spooled rows of one shard."""
 
     def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(max_size=48 << 20)
+        self.file = tempfile.SpooledTemporaryFile(max_size=8 << 20)
         self.at: list[tuple[int, int]] = []
 
     def add(self, data: bytes) -> None:
@@ -191,7 +191,7 @@ class Shard:
             ids, keys, count, step, length, anchor, data = _unpack(r, _KINDS, range(7))
             start = _starts(step, count)
             end = np.cumsum(length, dtype=np.int64)
-            own = np.flatnonzero(np.isin(anchor, shared) & self._mine(anchor, k, slices))
+            own = np.flatnonzero(_among(anchor, shared) & self._mine(anchor, k, slices))
             raw, before = data.tobytes(), len(known)
             which = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((end - length)[own].tolist(), end[own].tolist(), strict=True)), np.int64, len(own))
             fresh = np.full(len(known) - before, 0, np.uint32)
@@ -237,6 +237,12 @@ def _shared(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return a[first][np.minimum.reduceat(i, first) != np.maximum.reduceat(i, first)]
 
 
+def _among(anchor: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    if not len(shared):
+        return np.zeros(len(anchor), bool)
+    return shared[np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)] == anchor
+
+
 def _best(distinct: list[bytes], smallest: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     """At each place of the joined segments: the smallest id that has the window there."""
     text = np.frombuffer(b"\xff".join(distinct) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte FF, so 0 ends a segment
@@ -293,6 +299,7 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for i in range(0, len(keys), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].astype(np.int64)) for x in (keys, a, b)], names=["key", "start", "stop"])
         shard.file.close()
+        trim()
 
     found = dealt.mapInArrow(sort, "key long, start long, stop long")
 
