@@ -36,7 +36,7 @@ from .suffix_sort import suffix_order
 
 WINDOW = 50
 GRAM = 16
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 SHARD_TEXT_BYTES = 5 << 20
 SLICE_BYTES = 64 << 20
 PIECE = 1 << 20
@@ -94,19 +94,29 @@ def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     return doc, first - begin[doc], last - first + window - 1, m[first]
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays, compressed each; first the plain header with their sizes."""
-    parts = [zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
-    return struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+_KINDS = ["<i8", "<i4", "<u4", "<u4", "<u4", "<u4", "u1"]  # ids, marks, segments per document, start's difference, length, anchor, bytes
+_LEVELS = [3, 3, 3, 3, 3, 3, 6]
 
 
-def _unpack(data: bytes, kinds: list[str], which: list[int]) -> list[np.ndarray]:
-    sizes = struct.unpack_from(f"<{len(kinds)}Q", data)
-    at = np.concatenate([[0], np.cumsum(sizes)]) + 8 * len(kinds)
-    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at[i] : at[i + 1]]), kinds[i]) if sizes[i] else np.zeros(0, kinds[i]) for i in which]
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays, compressed each, numbers byte by byte; before them the header with their sizes."""
+    parts = []
+    for a, kind, level in zip(arrays, _KINDS, _LEVELS, strict=True):
+        a = np.ascontiguousarray(a, kind)
+        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+        parts.append(zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes()))
+    return struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
 
-_KINDS = ["<i8", "<i8", "<u4", "<i8", "<u4", "<u4", "u1"]  # ids, keys, segments per document, start's difference, length, anchor, bytes
+def _unpack(data: bytes, which: list[int]) -> list[np.ndarray]:
+    sizes = struct.unpack_from(f"<{len(_KINDS)}Q", data)
+    at = np.concatenate([[0], np.cumsum(sizes)]) + 8 * len(_KINDS)
+    out = []
+    for i in which:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at[i] : at[i + 1]]), np.uint8)
+        width = np.dtype(_KINDS[i]).itemsize
+        out.append(raw if width == 1 else np.ascontiguousarray(raw.reshape(width, -1).T).view(_KINDS[i]).ravel())
+    return out
 
 
 def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
@@ -115,7 +125,7 @@ def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, size = [], 0
         for batch in it:
-            for row in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), as_bytes(batch, "text"), strict=True):
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), as_bytes(batch, "text"), strict=True):
                 if len(row[2]) < window:
                     continue
                 held.append(row)
@@ -128,7 +138,7 @@ def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
 
     def deal(rows: list[tuple]) -> Iterator[tuple]:
         texts = [t for _, _, t in rows]
-        ids, keys = np.array([i for i, _, _ in rows], np.int64), np.array([k for _, k, _ in rows], np.int64)
+        ids, marks = np.array([i for i, _, _ in rows], np.int64), np.array([k for _, k, _ in rows], np.int32)
         doc, start, length, anchor = segments(texts, window)
         shard = (((anchor.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -142,8 +152,7 @@ def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
             step = np.diff(s, prepend=0)
             step[np.cumsum(count) - count] = s[np.cumsum(count) - count]
             data = b"".join([texts[i][a:b] for i, a, b in zip(d.tolist(), s.tolist(), (s + n).tolist(), strict=True)])
-            arrays = [ids[present], keys[present], count.astype("<u4"), step.astype("<i8"), n.astype("<u4"), anchor[own].astype("<u4"), np.frombuffer(data, np.uint8)]
-            yield int(shard[own[0]]), _pack(arrays)
+            yield int(shard[own[0]]), _pack([ids[present], marks[present], count, step, n, anchor[own], np.frombuffer(data, np.uint8)])
 
     return map_rows(docs, cut, "shard int, data binary", 16)
 
@@ -164,9 +173,9 @@ class Shard:
             self.file.seek(at)
             yield self.file.read(n)
 
-    def covered(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(key, start, end) of covered intervals."""
-        total = sum(int(_unpack(r, _KINDS, [4])[0].sum(dtype=np.int64)) for r in self.rows())
+    def covered(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(id, mark, start, end) of covered intervals."""
+        total = sum(int(_unpack(r, [4])[0].sum(dtype=np.int64)) for r in self.rows())
         slices = max(1, -(-total // SLICE_BYTES))
         for k in range(slices):
             yield from self._slice(k, slices, window)
@@ -174,10 +183,10 @@ class Shard:
     def _mine(self, anchor: np.ndarray, k: int, slices: int) -> np.ndarray:
         return (anchor * np.uint32(0x85EBCA6B) >> np.uint32(7)) % np.uint32(slices) == k
 
-    def _slice(self, k: int, slices: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _slice(self, k: int, slices: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         found = []
         for r in self.rows():
-            ids, count, anchor = _unpack(r, _KINDS, [0, 2, 5])
+            ids, count, anchor = _unpack(r, [0, 2, 5])
             mine = self._mine(anchor, k, slices)
             found.append((anchor[mine], np.repeat(ids, count)[mine]))
         anchor, ids = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -188,7 +197,7 @@ class Shard:
         anchor_of: list[np.ndarray] = []
         parts = []
         for r in self.rows():
-            ids, keys, count, step, length, anchor, data = _unpack(r, _KINDS, range(7))
+            ids, marks, count, step, length, anchor, data = _unpack(r, range(7))
             start = _starts(step, count)
             end = np.cumsum(length, dtype=np.int64)
             own = np.flatnonzero(_among(anchor, shared) & self._mine(anchor, k, slices))
@@ -197,10 +206,10 @@ class Shard:
             fresh = np.full(len(known) - before, 0, np.uint32)
             fresh[which[which >= before] - before] = anchor[own][which >= before]
             anchor_of.append(fresh)
-            parts.append((which, np.repeat(ids, count)[own], np.repeat(keys, count)[own], start[own]))
+            parts.append((which, np.repeat(ids, count)[own], np.repeat(marks, count)[own], start[own]))
         if not known:
             return
-        which, ids, keys, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        which, ids, marks, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         distinct = list(known)
         del known, parts
         size = np.fromiter(map(len, distinct), np.int64, len(distinct))
@@ -210,7 +219,7 @@ class Shard:
         several = n[group] > 1
         # A segment alone with its anchor shares no window with another one.
         alone = ~several[which] & (smallest[which] < ids)
-        yield keys[alone], start[alone], start[alone] + size[which[alone]]
+        yield ids[alone], marks[alone], start[alone], start[alone] + size[which[alone]]
         sorted_ = np.flatnonzero(several)
         if len(sorted_):
             at = np.full(len(distinct), -1, np.int64)
@@ -218,11 +227,11 @@ class Shard:
             best = _best([distinct[i] for i in sorted_.tolist()], smallest[sorted_], size[sorted_], window)
             del distinct
             for part in np.array_split(np.flatnonzero(several[which]), max(1, len(which) // 100_000)):
-                yield _compare(best, at[which[part]], size[which[part]] - window + 1, ids[part], keys[part], start[part], window)
+                yield _compare(best, at[which[part]], size[which[part]] - window + 1, ids[part], marks[part], start[part], window)
 
 
 def _starts(step: np.ndarray, count: np.ndarray) -> np.ndarray:
-    total = np.cumsum(step)
+    total = np.cumsum(step, dtype=np.int64)
     head = np.cumsum(count, dtype=np.int64) - count
     return total - np.repeat(total[head] - step[head], count)
 
@@ -269,7 +278,7 @@ def _best(distinct: list[bytes], smallest: np.ndarray, size: np.ndarray, window:
     return best
 
 
-def _compare(best: np.ndarray, at: np.ndarray, windows: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compare(best: np.ndarray, at: np.ndarray, windows: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     head = np.cumsum(windows) - windows
     offset = np.arange(int(windows.sum())) - np.repeat(head, windows)
     hit = best[np.repeat(at, windows) + offset] < np.repeat(ids, windows)
@@ -279,11 +288,14 @@ def _compare(best: np.ndarray, at: np.ndarray, windows: np.ndarray, ids: np.ndar
     finish = hit & ((edge[1:] == -1) | follows)
     a, b = np.flatnonzero(begin), np.flatnonzero(finish)
     owner = np.searchsorted(head, a, "right") - 1
-    return keys[owner], start[owner] + offset[a], start[owner] + offset[b] + window
+    return ids[owner], marks[owner], start[owner] + offset[a], start[owner] + offset[b] + window
 
 
 def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, starts, ends): the merged covered intervals of each row that has any; key hashes the row's id and text."""
+    """(doc_id, mark, starts, stops): the merged covered intervals of each row that has any.
+
+    The mark is a hash that tells rows with one id apart.
+    """
     keyed = _keyed(docs, id_col, text_col).filter("doc_id is not null and text is not null")
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = int(min(MOST_SHARDS, max(1, -(-total // SHARD_TEXT_BYTES))))
@@ -295,21 +307,21 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for data in batch.column("data").to_pylist():
                 shard.add(data)
         if shard.at:
-            for keys, a, b in shard.covered(window):
-                for i in range(0, len(keys), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].astype(np.int64)) for x in (keys, a, b)], names=["key", "start", "stop"])
+            for found in shard.covered(window):
+                for i in range(0, len(found[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].astype(t)) for x, t in zip(found, ("i8", "i4", "i8", "i8"), strict=True)], names=["doc_id", "mark", "start", "stop"])
         shard.file.close()
         trim()
 
-    found = dealt.mapInArrow(sort, "key long, start long, stop long")
+    found = dealt.mapInArrow(sort, "doc_id long, mark int, start long, stop long")
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, starts, stops = None, [], []
         for batch in it:
-            for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "stop")), strict=True):
+            for *k, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "start", "stop")), strict=True):
                 if k != key:
                     if starts:
-                        yield key, starts, stops
+                        yield *key, starts, stops
                     key, starts, stops = k, [a], [b]
                 elif a <= stops[-1]:
                     stops[-1] = max(stops[-1], b)
@@ -317,14 +329,14 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     starts.append(a)
                     stops.append(b)
         if starts:
-            yield key, starts, stops
+            yield *key, starts, stops
 
-    return map_rows(found.repartition("key").sortWithinPartitions("key", "start"), merge, "key long, starts array<long>, stops array<long>")
+    return map_rows(found.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "start"), merge, "doc_id long, mark int, starts array<long>, stops array<long>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     a, b = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(a.alias("doc_id"), b.alias("text"), F.xxhash64(a, b).alias("key"))
+    return docs.select(a.alias("doc_id"), b.alias("text"), F.hash(a, b).alias("mark"))
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -332,7 +344,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     tune(docs.sparkSession)
     spans = written(covered(docs, id_col=id_col, text_col=text_col, window=window), "repeat-spans")
     size = spans.agg(F.coalesce(F.sum(F.size("starts") * 16 + 48), F.lit(0))).first()[0]
-    joined = _keyed(docs, id_col, text_col).join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left")
+    joined = _keyed(docs, id_col, text_col).join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["doc_id", "mark"], "left")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in it:
