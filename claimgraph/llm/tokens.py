@@ -1,8 +1,10 @@
 """Whole-text encoding with a public tokenizer, through a bounded cache of words.
 
-The tokenizer drops white space and never joins characters across it, so a text's ids are the ids of its
-space-separated words, one after another.  Word vectors repeat; each worker keeps up to ``CACHED_WORDS`` of
-them, of which those met first stay for good, and encodes the others again.  The cache bounds memory only.
+The tokenizer lower-cases, drops white space and never joins characters across it, so a text's ids are the ids of
+its space-separated words, one after another, in lower case.  It also starts anew where a letter is followed by
+a mark, so a word's ids are those of the word without a mark at its end, and of the mark.  Each worker keeps up to
+``CACHED_WORDS`` words, of which those met first stay for good, and encodes the others again; the cache bounds
+memory only.  Texts that hold the beginning of a special token keep their case and are encoded word by word.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from itertools import islice
 
 import numpy as np
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 #: Longer words are encoded but not kept.
 LONGEST_CACHED = 64
+MARKS = frozenset(b".,;:!?|")
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+TOGETHER = 64
 
 
 def default_tokenizer() -> str:
@@ -36,26 +41,59 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.cached = cached
         self.words: dict[bytes, bytes] = {}
+        # A special token may part words that are encoded together, as no word holds it.
+        self.separator, self.separator_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
+        self.lower = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        if self.separator is None or any(b"<" in w for w in words):
+            return [np.array(e.ids, self.dtype).tobytes() for e in encode([w.decode() for w in words], add_special_tokens=False)]
+        texts = [self.separator.join([w.decode() for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for e in encode(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.separator_id)
+            raw, w = ids.tobytes(), self.width
+            edges = [-1, *cuts.tolist(), len(ids)]
+            out += [raw[(a + 1) * w : b * w] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        known, marks, new = self.words, {}, []
+        split: list[tuple[bytes, bytes, bytes]] = []
+        for w in missing:
+            if len(w) > 2 and w[-1] in MARKS and w[-2] in LETTERS:
+                split.append((w, w[:-1], w[-1:]))
+            else:
+                new.append(w)
+        if split:
+            need = {s for _, s, _ in split if s not in known}.difference(new)
+            new += need
+            new += {m for _, _, m in split if m not in known}.difference(new)
+        found = dict(zip(new, self._encoded(new), strict=True)) if new else {}
+        for w, stem, mark in split:
+            marks[w] = (found[stem] if stem in found else known[stem]) + (found[mark] if mark in found else known[mark])
+        return found | marks
 
     def encode(self, text: bytes) -> bytes:
+        if self.lower and b"<|" not in text:
+            text = text.lower()
         words = text.split()  # ASCII white space only
-        missing = [w for w in set(words) if w not in self.words]
-        if len(self.words) + len(missing) > self.cached:
+        found = list(map(self.words.get, words))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            new = self._learn(list({words[i] for i in at}))
+            for i in at:
+                found[i] = new[words[i]]
+            self._keep(new)
+        return b"".join(found)
+
+    def _keep(self, new: dict[bytes, bytes]) -> None:
+        if len(self.words) + len(new) > self.cached:
             self.words = dict(islice(self.words.items(), self.cached // 2))
-            missing = [w for w in set(words) if w not in self.words]
-        if not missing:
-            return b"".join(map(self.words.__getitem__, words))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        new = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(missing, found, strict=True)}
-        if len(missing) > self.cached // 2:
-            known = self.words | new
-            return b"".join(map(known.__getitem__, words))
-        self.words.update(new)
-        out = b"".join(map(self.words.__getitem__, words))
-        for w in missing:
-            if len(w) > LONGEST_CACHED:
-                del self.words[w]
-        return out
+        if len(new) <= self.cached // 2:
+            self.words.update((w, x) for w, x in new.items() if len(w) <= LONGEST_CACHED)
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
