@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_text, map_rows, tune, written
-from .tokens import WordEncoder
+from .tokens import encoder
 
 PIECE = "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"
 STEP = "length long, first long, last long, sequence long, copies long, used long"
@@ -99,16 +99,16 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     docs = id_text(docs, id_col, text_col)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder = WordEncoder(tokenizer)
+        own = encoder(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], own.dtype).tobytes()
         for batch in it:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), strict=True):
-                ids = np.frombuffer(encoder.encode(text) + end, encoder.dtype).astype("<u4")
+                ids = np.frombuffer(own.encode(text) + end, own.dtype).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    yield part, int(seen[len(own)]), doc_id, k, start, len(own), zlib.crc32(own.tobytes())
-                    seen[len(own)] += 1
+                    part_ids = ids[start : start + capacity]
+                    yield part, int(seen[len(part_ids)]), doc_id, k, start, len(part_ids), zlib.crc32(part_ids.tobytes())
+                    seen[len(part_ids)] += 1
 
     return map_rows(docs, cut, PIECE)
 

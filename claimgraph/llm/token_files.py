@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_text, locate, map_rows, opened, published, shared_dir, tune, written
-from .tokens import WordEncoder
+from .tokens import encoder
 
 MAGIC = b"CGTOKEF1"
 SAMPLE = 256
@@ -182,16 +182,16 @@ def write_files(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
     cuts = np.array(_cuts(docs.select("doc_id")), np.int64)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder = WordEncoder(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        own = encoder(tokenizer)
+        end = np.array([end_id], own.dtype).tobytes()
         for batch in it:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), strict=True):
                 part = 0 if doc_id is None else int(np.searchsorted(cuts, doc_id, "right"))
-                yield part, doc_id, encoder.encode(text) + end
+                yield part, doc_id, own.encode(text) + end
 
     coded = map_rows(docs, encode, "part int, doc_id long, ids binary", 200)
     dealt = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
-    dtype = WordEncoder(tokenizer).dtype
+    dtype = encoder(tokenizer).dtype
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rows = ((p, d, i) for b in it for p, d, i in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True))

@@ -9,6 +9,7 @@ memory only.  Texts that hold the beginning of a special token keep their case a
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -97,3 +98,9 @@ class WordEncoder:
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> WordEncoder:
+    """The process's own encoder: its cache serves all tasks of a worker."""
+    return WordEncoder(path)
