@@ -60,7 +60,7 @@ def merge_fold(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     new = F.filter(some("new_summaries"), lambda s: s.isNotNull() & ~s.eqNullSafe(F.col("summary")))
     return both.withColumns({
         "aliases": F.array_sort(aliases), "summaries": F.array_union(some("summaries"), new),
-        "n_merges": F.coalesce("n", F.lit(0)), "n_citations": F.size(F.coalesce("citations", F.array().cast("array<long>"))) + F.coalesce("n", F.lit(0)),
+        "n_merges": F.coalesce("n", F.lit(0)), "n_citations": F.when(F.col("citations").isNull(), 0).otherwise(F.size("citations")) + F.coalesce("n", F.lit(0)),
     }).drop("new_aliases", "new_summaries", "n")
 
 

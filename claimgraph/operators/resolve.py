@@ -37,7 +37,7 @@ def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     words are joined on and common words gather no pairs.
     """
     words = lambda c: F.array_distinct(title_tokens(c))
-    a = candidates.select(*SCOPE, "type", F.col("cand_id").alias("id"), F.lit(None).cast("long").alias("created_at"), F.col("title").alias("surface"), F.lit(True).alias("mine"))
+    a = candidates.select(*SCOPE, "type", F.col("cand_id").alias("id"), F.lit(None).cast(nodes.schema["created_at"].dataType).alias("created_at"), F.col("title").alias("surface"), F.lit(True).alias("mine"))
     b = surfaces(nodes, "node_id", "created_at").select(*SCOPE, "type", F.col("node_id").alias("id"), "created_at", "surface", F.lit(False).alias("mine"))
     both = a.unionByName(b).withColumn("words", words(F.col("surface"))).filter(F.size("words") > 0)
     tokens = both.select("*", F.explode("words").alias("word"))

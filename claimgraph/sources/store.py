@@ -42,9 +42,10 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as of a version (the latest without one); empty with its schema if nothing was written."""
         version = self.version(table) if version is None else version
+        empty = self.spark.createDataFrame([], SCHEMAS[table])
         if version == 0:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{self._folder(table, version)}")
+            return empty
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{self._folder(table, version)}").select(*empty.columns)
 
     def write(self, table: str, rows: DataFrame, expected: int) -> int:
         """A new whole version after ``expected``; an error if another writer was faster."""
