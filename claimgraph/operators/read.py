@@ -13,6 +13,11 @@ from ..functions.vectors import nearest
 from .scope import is_live_node, live_edges, live_nodes
 
 EXCERPT = 2000
+#: The wording of a rendered subgraph.
+NOTHING = "No relevant context found in the graph."
+HEADING = "Relevant context (knowledge graph):"
+RELATIONS = "Relationships:"
+OMITTED = "[... {n} more item(s) omitted for length]"
 
 
 def search_segments(segments: DataFrame, sources: DataFrame, vector: list[float], k: int = 10, least: float | None = None) -> DataFrame:
@@ -118,8 +123,8 @@ def edge_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def context_text(nodes: list, edges: list, max_chars: int = 6000) -> str:
     """A subgraph of a few dozen rows as text; a line that does not fit is counted and passed over."""
     if not nodes:
-        return "No relevant context found in the graph."
-    lines, omitted = ["Relevant context (knowledge graph):", ""], 0
+        return NOTHING
+    lines, omitted = [HEADING, ""], 0
     used = sum(len(x) + 1 for x in lines)
 
     def add(line: str, room: int) -> bool:
@@ -135,12 +140,12 @@ def context_text(nodes: list, edges: list, max_chars: int = 6000) -> str:
         omitted += not add(f"- [{n['type']}] {n['title']} {{id: {n['id']}}}{tail}", max_chars - 200)
     if edges:
         title = {n["id"]: n["title"] for n in nodes}
-        lines += ["", "Relationships:"]
-        used += 1 + len("Relationships:") + 1
+        lines += ["", RELATIONS]
+        used += 1 + len(RELATIONS) + 1
         for e in edges:
             omitted += not add(f"  {title.get(e['source_id'], '?')} -[{e['type']}]-> {title.get(e['target_id'], '?')}", max_chars)
     if omitted:
-        lines.append(f"\n[... {omitted} more item(s) omitted for length]")
+        lines.append("\n" + OMITTED.format(n=omitted))
     return "\n".join(lines)
 
 
