@@ -138,7 +138,7 @@ def vector(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     columns, values = [], []
     for k, parts in enumerate(found):
         b, n = np.unique(np.concatenate(parts), return_counts=True)
-        columns.append(b + (k << BITS))
+        columns.append((b + (k << BITS)).astype(np.int32))
         values.append((n / max(1, n.sum())).astype(np.float32))
     return np.concatenate(columns), np.concatenate(values)
 
@@ -164,17 +164,18 @@ def fit(rows: list[tuple[bytes, int]]) -> Scorer | None:
     rows = [r for r in rows if r[1] in (0, 1)]
     if len({y for _, y in rows}) < 2:
         return None
-    hashes = WordHashes()
-    vectors, y = [vector(t, hashes) for t, _ in rows], np.array([r[1] for r in rows], float)
-    size = FAMILIES << BITS
+    y, size = np.array([r[1] for r in rows], float), FAMILIES << BITS
     held = np.arange(len(rows)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(rows), bool)
-    train = [x for x, h in zip(vectors, held, strict=True) if not h]
-    w, bias = _fit(sparse(train), y[~held], size)
+    hashes, parts = WordHashes(), ([], [])
+    for (text, _), h in zip(rows, held, strict=True):
+        parts[int(h)].append(vector(text, hashes))
+    data = sparse(parts[0])
+    w, bias = _fit(data, y[~held], size)
     model = Scorer(w, bias)
-    part, target = ([x for x, h in zip(vectors, held, strict=True) if h], y[held]) if held.any() else (vectors, y)
-    s = dot(sparse(part), w, len(part)) + bias
+    data, target = (sparse(parts[1]), y[held]) if held.any() else (data, y)
+    s = dot(data, w, len(target)) + bias
     model.slope, model.offset = calibrate(s, target)
     return model
 
