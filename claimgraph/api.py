@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import embed_text
-from .operators import chunk, extract, govern, oplog, read, resolve, scope
+from .operators import chunk, effects, extract, govern, oplog, read, resolve, scope
 from .sources.capture import capture, uuid_of
 from .sources.schema import GraphError, Ontology, SchemaMismatch, ScopeViolation, Settings
 from .sources.store import Store
@@ -102,7 +102,7 @@ class Graph:
         now, cite = F.current_timestamp(), F.array(F.struct("source_id", F.lit(run).alias("run_id")))
         fresh = full.filter("creates").select(
             "tenant_id", "graph_id", F.col("cand_id").alias("node_id"), "kind", "type", "title", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "summary", F.array().cast("array<string>").alias("summaries"), cite.alias("citations"),
-            F.array().cast("array<struct<alias:string,decision:string,branch:string>>").alias("merges"), F.lit(None).cast("array<string>").alias("conflict_node_ids"), F.lit(None).cast("string").alias("resolved"), F.lit("active").alias("status"), "confidence", F.lit(None).cast("timestamp").alias("deleted_at"), "embedding", now.alias("created_at"), now.alias("updated_at"),
+            F.array().cast("array<struct<alias:string,decision:string,branch:string>>").alias("merges"), F.lit(None).cast("array<string>").alias("conflict_node_ids"), F.lit(None).cast("string").alias("resolved"), F.lit("active").alias("status"), "confidence", F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(None).cast("string").alias("layout"), "embedding", now.alias("created_at"), now.alias("updated_at"),
         )
         merges = full.filter("not creates").select("tenant_id", F.coalesce("same_run_id", "target_id").alias("node_id"), F.col("title").alias("alias"), "summary", F.col("pos").alias("seq"), cite.alias("cite"), F.array(F.struct(F.col("title").alias("alias"), F.lit("merge").alias("decision"), resolve.branch_label(F.col("branch")).alias("branch"))).alias("trail"))
         extra = merges.groupBy("tenant_id", "node_id").agg(F.flatten(oplog.in_order(F.col("cite"))).alias("more_cites"), F.flatten(oplog.in_order(F.col("trail"))).alias("more_trail"))
@@ -117,19 +117,62 @@ class Graph:
         live = scope.live_edges(self.store.read("edges"))
         new = oplog.new_edges(real, live).select("tenant_id", "graph_id", uuid_of(F.lit(run), F.col("source_id"), F.col("target_id"), F.col("type")).alias("edge_id"), "source_id", "target_id", "type", F.lit("active").alias("status"), "confidence", now.alias("valid_at"), F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(None).cast("timestamp").alias("expired_at")).persist()
         result.edges = new.count()
-        ops = resolve.operations(done).select("cand_id", "op", oplog.risk(F.col("op"), F.lit(actor)).alias("risk"))
-        listed = [(i, r["op"], r["risk"], {"new_id": r["cand_id"]}) for i, r in enumerate(ops.orderBy("cand_id").collect())]  # one source's operations
-        result.gated = sum(1 for o in listed if o[2] == "high")
+        old = nodes.select(F.col("node_id").alias("target_id"), F.col("title").alias("old_title"), F.col("type").alias("old_type"))
+        told = {"new_id": "cand_id", "old_id": "target_id", "node_id": F.coalesce("same_run_id", "target_id"), "new_title": "title", "new_type": "type", "old_title": "old_title", "old_type": "old_type"}
+        payload = F.map_filter(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), F.col(v) if isinstance(v, str) else v)]), lambda k, v: v.isNotNull())
+        ops = resolve.operations(done).select("cand_id", "k", "op").join(full.join(old, "target_id", "left"), "cand_id")
+        listed = [(r["op"], r["payload"]) for r in ops.select("op", payload.alias("payload"), "pos", "k", "source_id").orderBy("source_id", "pos", "k").collect()]  # one source's operations
         self.store.write("nodes", folded, version)
         self.store.append("edges", new)
-        result.changeset_id = uuid.uuid4().hex
-        row = [(tenant, graph, result.changeset_id, run, "partial" if result.gated else "applied", [{"seq": i, "op": o, "risk": k, "payload": p} for i, o, k, p in listed], "extraction", actor, None, f"{result.created} created, {result.merged} merged", None, None, None)]
-        self.store.append("changesets", self.spark.createDataFrame(row, self.store.read("changesets").schema).withColumn("created_at", now))
+        held = self._record(tenant, graph, listed, run, actor, "extraction", f"{result.created} created, {result.merged} merged")
+        result.changeset_id, result.gated = held[0], len(held[2])
+        follow = [o for o in held[1] if o[1] in ("SUPERSEDE", "CONTRADICT")]  # the nodes and edges are there already
+        if follow:
+            self._take(tenant, graph, follow, result.changeset_id)
         self._mark(ids, "done")
         result.status = "done"
         for frame in (got, found, done, new):
             frame.unpersist()
 
+    def _record(self, tenant: str, graph: str, ops: list[tuple[str, dict]], run: str | None, actor: str, origin: str, summary: str) -> tuple[str, list, list]:
+        """Keep a list of operations with the gate's verdicts; its id, what takes effect and what waits, as (seq, op, payload)."""
+        rows = self.spark.createDataFrame([(i, o, {k: str(v) for k, v in p.items() if v is not None}) for i, (o, p) in enumerate(ops)], "seq long, op string, payload map<string,string>")
+        # A layout carries nothing else, whatever its caller sends along.
+        rows = rows.withColumn("payload", F.when(F.col("op").isin(*oplog.PRESENTATION), oplog.layout(F.col("payload"))).otherwise(F.col("payload")))
+        judged = oplog.gated(rows.withColumn("actor_kind", F.lit(actor))).select("seq", "op", "risk", "payload").orderBy("seq").collect()
+        passed, held = ([(r["seq"], r["op"], r["payload"]) for r in judged if (r["risk"] == "high") == high] for high in (False, True))
+        one = uuid.uuid4().hex
+        row = [(tenant, graph, one, run, "partial" if held else "applied", [r.asDict() for r in judged], origin, actor, None, summary, None, None, None)]
+        self.store.append("changesets", self.spark.createDataFrame(row, self.store.read("changesets").schema).withColumn("created_at", F.current_timestamp()))
+        return one, passed, held
+
+    def _take(self, tenant: str, graph: str, ops: list[tuple[int, str, dict]], salt: str) -> dict:
+        """Let operations take effect on the stored nodes and edges; doing it again changes nothing more."""
+        frame = self.spark.createDataFrame([(tenant, graph, *o) for o in ops], "tenant_id string, graph_id string, seq long, op string, payload map<string,string>")
+        versions = {t: self.store.version(t) for t in ("nodes", "edges")}
+        nodes, edges = (self.store.read(t, v) for t, v in versions.items())
+        effects.check(frame, nodes)
+        done = effects.take_effect(nodes, edges, frame, salt=salt, question=self.ontology.open_question_type)
+        count = lambda *names: sum(o in names for _, o, _ in ops)
+        made = done.made.filter("op <> 'SUPERSEDE'").count()
+        added = [(p["new_id"], self._vector(f"{p.get('title', '')}\n{p.get('summary', '')}".strip())) for _, o, p in ops if o == "ADD_NODE"]
+        after = done.nodes
+        if added:
+            vectors = self.spark.createDataFrame(added, "node_id string, vector array<float>")
+            after = after.join(vectors, "node_id", "left").withColumn("embedding", F.coalesce("embedding", "vector")).drop("vector")
+        self.store.write("nodes", after, versions["nodes"])
+        self.store.write("edges", done.edges, versions["edges"])
+        return {"created_nodes": count("ADD_NODE", "CONTRADICT"), "merged_nodes": count("MERGE_NODE"), "updated_nodes": count("SUPERSEDE", "UPDATE_NODE", "REMOVE_NODE"), "created_edges": made}
+
+    def apply(self, tenant: str, graph: str, ops: list[tuple[str, dict]], *, actor: str = "agent", origin: str = "host") -> Result:
+        """Operations (name, payload) that a host proposes: the safe ones take effect, the others wait for a reviewer."""
+        ops = [(o, {"new_id": uuid.uuid4().hex} | p if o == "ADD_NODE" else p) for o, p in ops]
+        listed = self.spark.createDataFrame([(tenant, graph, i, o, {k: str(v) for k, v in p.items() if v is not None}) for i, (o, p) in enumerate(ops)], "tenant_id string, graph_id string, seq long, op string, payload map<string,string>")
+        effects.check(oplog.applied(listed.withColumn("actor_kind", F.lit(actor))), self.store.read("nodes"))
+        one, passed, held = self._record(tenant, graph, ops, None, actor, origin, f"{len(ops)} proposed")
+        n = self._take(tenant, graph, passed, one) if passed else {"created_nodes": 0, "merged_nodes": 0, "created_edges": 0}
+        return Result("done", changeset_id=one, created=n["created_nodes"], merged=n["merged_nodes"], edges=n["created_edges"], gated=len(held))
+
     # Reading
 
     def search(self, tenant: str, graph: str, query: str, *, top_k: int = 10, min_score: float | None = None) -> DataFrame:
@@ -152,16 +195,19 @@ class Graph:
         return govern.pending(self._here("changesets", tenant, graph))
 
     def review(self, tenant: str, graph: str, changeset_id: str, *, approve: bool, reviewer_id: str | None = None) -> dict:
-        """Decide on a changeset; an error if it is unknown or decided already."""
-        mine = self._here("changesets", tenant, graph).filter(F.col("changeset_id") == changeset_id).select("status", "ops").first()
+        """Decide on a changeset; an error if it is unknown or decided already.  Approved operations take effect first,
+        so that a failure leaves the changeset waiting, and may be approved again."""
+        version = self.store.version("changesets")
+        mine = scope.scoped(self.store.read("changesets", version), tenant, graph).filter(F.col("changeset_id") == changeset_id).select("status", "ops").first()
         if mine is None:
             raise ScopeViolation(changeset_id)
         if mine["status"] not in govern.REVIEWABLE:
             raise GraphError(f"changeset {changeset_id} is {mine['status']}")
-        version = self.store.version("changesets")
-        decided = govern.review(self.store.read("changesets"), changeset_id, approve, reviewer_id, None).withColumn("reviewed_at", F.when(F.col("changeset_id") == changeset_id, F.current_timestamp()).otherwise(F.col("reviewed_at")))
+        risky = [(o["seq"], o["op"], o["payload"]) for o in mine["ops"] if o["risk"] == "high"]
+        counts = self._take(tenant, graph, risky, changeset_id) if approve and risky else {}
+        decided = govern.review(self.store.read("changesets", version), changeset_id, approve, reviewer_id, None).withColumn("reviewed_at", F.when(F.col("changeset_id") == changeset_id, F.current_timestamp()).otherwise(F.col("reviewed_at")))
         self.store.write("changesets", decided, version)
-        return {"changeset_id": changeset_id, "status": "applied" if approve else "rejected", "gated_ops": sum(o["risk"] == "high" for o in mine["ops"])}
+        return {"changeset_id": changeset_id, "status": "applied" if approve else "rejected", "gated_ops": len(risky), **counts}
 
     def health(self, tenant: str, graph: str) -> DataFrame:
         return govern.health(*(self._here(t, tenant, graph) for t in ("nodes", "edges", "sources", "segments", "changesets")))

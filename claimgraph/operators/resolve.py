@@ -169,7 +169,7 @@ def branch_label(branch: Column) -> Column:
 
 def operations(resolved: DataFrame) -> DataFrame:
     """The operations of each resolved candidate, in order: (cand_id, k, op, risk)."""
-    merges = (F.col("branch") == "same_run") | (F.col("decision").isin("merge", "duplicate"))
+    merges = F.startswith("branch", F.lit("same_run")) | (F.col("decision").isin("merge", "duplicate"))
     follow = F.when(F.col("decision") == "supersedes", F.array(F.lit("ADD_NODE"), F.lit("SUPERSEDE"))).when(F.col("decision") == "contradicts", F.array(F.lit("ADD_NODE"), F.lit("CONTRADICT"))).otherwise(F.array(F.lit("ADD_NODE")))
     ops = F.when(merges, F.array(F.lit("MERGE_NODE"))).otherwise(follow)
     return resolved.select("cand_id", "branch", "decision", F.posexplode(ops).alias("k", "op"))

@@ -12,7 +12,7 @@ SCHEMAS = {
     "runs": f"{SCOPE}, run_id string, actor_id string, status string, model string, input_tokens long, output_tokens long, llm_calls long, created_at timestamp",
     "sources": f"{SCOPE}, source_id string, origin string, raw_content string, external_ref string, metadata map<string,string>, extraction_status string, extraction_error string, created_at timestamp",
     "segments": f"{SCOPE}, segment_id string, source_id string, locator struct<start:int,end:int,unit:string>, text string, embedding array<float>",
-    "nodes": f"{SCOPE}, node_id string, kind string, type string, title string, aliases array<string>, summary string, summaries array<string>, citations array<struct<source_id:string,run_id:string>>, merges array<struct<alias:string,decision:string,branch:string>>, conflict_node_ids array<string>, resolved string, status string, confidence double, deleted_at timestamp, embedding array<float>, created_at timestamp, updated_at timestamp",
+    "nodes": f"{SCOPE}, node_id string, kind string, type string, title string, aliases array<string>, summary string, summaries array<string>, citations array<struct<source_id:string,run_id:string>>, merges array<struct<alias:string,decision:string,branch:string>>, conflict_node_ids array<string>, resolved string, status string, confidence double, deleted_at timestamp, layout string, embedding array<float>, created_at timestamp, updated_at timestamp",
     "edges": f"{SCOPE}, edge_id string, source_id string, target_id string, type string, status string, confidence double, valid_at timestamp, invalid_at timestamp, expired_at timestamp",
     "changesets": f"{SCOPE}, changeset_id string, run_id string, status string, ops array<struct<seq:long,op:string,risk:string,payload:map<string,string>>>, origin string, actor_kind string, actor_id string, summary string, reviewed_by string, created_at timestamp, reviewed_at timestamp",
 }

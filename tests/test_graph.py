@@ -9,9 +9,9 @@ import duckdb
 import pandas as pd
 import pytest
 from claimgraph.api import Graph
-from claimgraph.operators import chunk, extract, oplog, read, resolve
+from claimgraph.operators import chunk, effects, extract, oplog, read, resolve
 from claimgraph.plans import catalog, oracle
-from claimgraph.sources.schema import ConcurrentModification, EmbeddingUnavailable, Settings
+from claimgraph.sources.schema import ConcurrentModification, EmbeddingUnavailable, GraphError, ScopeViolation, Settings
 from claimgraph.sources.store import Store
 from claimgraph.tools import TOOLS, ToolServer
 from pyspark.sql import functions as F
@@ -150,3 +150,90 @@ def test_failed_extraction_keeps_the_source(spark, tmp_path):
     g = Graph(spark, f"file://{tmp_path}", embedder=extract.hash_embedder(8), extractor=broken, settings=Settings(dimensions=8))
     r = g.add("acme", "main", TEXT)
     assert r.status == "failed" and g.health("acme", "main").first()["sources_failed"] == 1
+
+
+def in_turn(nodes, edges, ops):
+    """The operations one after another: node -> (status, title, removed), edge triples -> live."""
+    nodes, edges = dict(nodes), list(edges)  # edges: [id, source, target, type, live]
+
+    def end(node, spare):
+        edges[:] = [(i, s, t, k, live and not (node in (s, t) and k != spare)) for i, s, t, k, live in edges]
+
+    def link(s, t, k):
+        if s != t and not any(e[1:] == (s, t, k, True) for e in edges):
+            edges.append((None, s, t, k, True))
+
+    for op, p in ops:
+        if op == "SUPERSEDE":
+            nodes[p["old_id"]] = ("superseded", *nodes[p["old_id"]][1:])
+            end(p["old_id"], "supersedes")
+            link(p["new_id"], p["old_id"], "supersedes")
+        elif op == "CONTRADICT":
+            link(p["new_id"], p["old_id"], "contradicts")
+        elif op == "UPDATE_NODE":
+            old = nodes[p["node_id"]]
+            nodes[p["node_id"]] = (p.get("status", old[0]), p.get("title", old[1]), old[2])
+        elif op == "REMOVE_NODE":
+            nodes[p["node_id"]] = ("rejected", nodes[p["node_id"]][1], True)
+            end(p["node_id"], None)
+        elif op == "DISCONNECT":
+            edges[:] = [(i, s, t, k, live and i != p["edge_id"]) for i, s, t, k, live in edges]
+        elif op == "ADD_EDGE":
+            link(p["source_id"], p["target_id"], p["type"])
+    return nodes, sorted((s, t, k, live) for _, s, t, k, live in edges)
+
+
+OPS = [
+    ("ADD_EDGE", {"source_id": "a", "target_id": "b", "type": "affects"}), ("SUPERSEDE", {"new_id": "c", "old_id": "a"}), ("ADD_EDGE", {"source_id": "a", "target_id": "b", "type": "affects"}),
+    ("ADD_EDGE", {"source_id": "a", "target_id": "b", "type": "affects"}), ("UPDATE_NODE", {"node_id": "a", "status": "active", "title": "again"}), ("CONTRADICT", {"new_id": "d", "old_id": "b", "new_title": "D"}),
+    ("ADD_EDGE", {"source_id": "d", "target_id": "d", "type": "affects"}), ("REMOVE_NODE", {"node_id": "e"}), ("DISCONNECT", {"edge_id": "e2"}), ("ADD_EDGE", {"source_id": "b", "target_id": "c", "type": "contains"}),
+    ("ADD_EDGE", {"source_id": "e", "target_id": "b", "type": "contains"}), ("SUPERSEDE", {"new_id": "e", "old_id": "c"}), ("SET_LAYOUT", {"node_id": "b", "layout": "{}"}),
+]
+START = [("e1", "a", "b", "affects", True), ("e2", "b", "c", "contains", True), ("e3", "e", "d", "affects", True), ("e4", "a", "e", "supersedes", True), ("e5", "c", "d", "affects", False), ("e6", "c", "d", "supersedes", True)]
+
+
+@pytest.mark.parametrize("ops", [OPS, OPS[::-1], OPS[4:] + OPS[:4], []])
+def test_effects_equal_operations_in_turn(spark, tmp_path, ops):
+    store = Store(spark, f"file://{tmp_path}")
+    names = "abcde"
+    rows = [{"tenant_id": "t", "graph_id": "g", "node_id": n, "title": n, "status": "active", "type": "entity/api"} for n in names]
+    nodes = spark.createDataFrame([tuple(r.get(c) for c in store.read("nodes").columns) for r in rows], store.read("nodes").schema)
+    now = pd.Timestamp("2024-01-01").to_pydatetime()
+    lines = [{"tenant_id": "t", "graph_id": "g", "edge_id": i, "source_id": s, "target_id": d, "type": k, "status": "active", "valid_at": now, "invalid_at": None if live else now} for i, s, d, k, live in START]
+    edges = spark.createDataFrame([tuple(r.get(c) for c in store.read("edges").columns) for r in lines], store.read("edges").schema)
+    frame = spark.createDataFrame([("t", "g", i, o, p) for i, (o, p) in enumerate(ops)], "tenant_id string, graph_id string, seq long, op string, payload map<string,string>")
+    effects.check(frame, nodes)
+    got = effects.take_effect(nodes, edges, frame, salt="x")
+    want_nodes, want_edges = in_turn({n: ("active", n, False) for n in names}, START, ops)
+    rows = got.nodes.collect()
+    assert {r["node_id"]: (r["status"], r["title"], r["deleted_at"] is not None) for r in rows if r["conflict_node_ids"] is None} == want_nodes
+    assert sorted((r["source_id"], r["target_id"], r["type"], r["invalid_at"] is None) for r in got.edges.collect()) == want_edges
+    assert [(r["title"], r["conflict_node_ids"]) for r in rows if r["conflict_node_ids"]] == [("Conflict: D vs existing claim", ["d", "b"])] * any(o == "CONTRADICT" for o, _ in ops)
+
+
+def test_effects_refuse_unknown_operations_and_foreign_nodes(spark, tmp_path):
+    nodes = Store(spark, f"file://{tmp_path}").read("nodes")
+    one = lambda op, p: spark.createDataFrame([("t", "g", 0, op, p)], "tenant_id string, graph_id string, seq long, op string, payload map<string,string>")
+    with pytest.raises(GraphError, match="unknown operation"):
+        effects.check(one("EXPLODE", {}), nodes)
+    with pytest.raises(ScopeViolation):
+        effects.check(one("REMOVE_NODE", {"node_id": "elsewhere"}), nodes)
+
+
+def test_review_applies_what_waited(graph):
+    graph.add("acme", "gate", TEXT)
+    mine = graph.recall("acme", "gate", "checkout", top_k=30)[0].collect()
+    a, b = (r["id"] for r in sorted(mine, key=lambda r: r["title"])[:2])
+    r = graph.apply("acme", "gate", [("SUPERSEDE", {"new_id": a, "old_id": b}), ("CONTRADICT", {"new_id": a, "old_id": b, "new_title": "A", "old_title": "B"}), ("ADD_NODE", {"type": "knowledge/insight", "title": "Stated by the host"})])
+    assert (r.gated, r.created, r.edges) == (1, 2, 1)
+    assert graph.conflicts("acme", "gate").first()["title"] == "Conflict: A vs B"
+    waiting = graph.pending("acme", "gate").collect()
+    assert [o["op"] for w in waiting for o in w["ops"]] == ["SUPERSEDE"]
+    done = graph.review("acme", "gate", r.changeset_id, approve=True, reviewer_id="ada")
+    assert done == {"changeset_id": r.changeset_id, "status": "applied", "gated_ops": 1, "created_nodes": 0, "merged_nodes": 0, "updated_nodes": 1, "created_edges": 0}
+    left = {x["id"] for x in graph.recall("acme", "gate", "checkout", top_k=30)[0].collect()}
+    assert a in left and b not in left and graph.pending("acme", "gate").count() == 0
+    with pytest.raises(GraphError):
+        graph.review("acme", "gate", r.changeset_id, approve=True)
+    with pytest.raises(ScopeViolation):
+        graph.apply("acme", "gate", [("ADD_EDGE", {"source_id": a, "target_id": "elsewhere", "type": "affects"})])
