@@ -12,8 +12,10 @@ every backslash and every control string (``### `` and ``</turn>``) and in roles
 removing single backslashes restores them and no text can end a turn or open one.  The loss mask covers the text
 of assistant turns.
 
-Trees are made per first turn.  One that more than ``TREE_SIZE`` conversations share is cut by a hash of their id
-into as many trees as keep to that size on average, each of which repeats the shared turns once.
+Trees are made per first turn.  Turns from the first on that more than ``TREE_SIZE`` conversations share are cut into
+as many trees as keep to that size on average, by a hash of the turn after them, so that conversations with a longer
+shared beginning stay in one tree; where that beginning is again shared by too many it is cut likewise, and only
+conversations equal to the end are cut by a hash of their id.  Each tree repeats the turns above its cut once.
 
 Defined cases: a null text or role is empty; turns are ordered by number (null first), then role and text; rows with a
 null id form one conversation; equal rows are turns of their own; an empty table gives no rows; other columns are
@@ -118,15 +120,32 @@ def _extended(spans: tuple, new: tuple[int, int]) -> tuple:
     return (*spans[:-1], (spans[-1][0], new[1])) if spans and spans[-1][1] == new[0] else (*spans, new)
 
 
+def _cut(many: DataFrame) -> DataFrame:
+    """Conversations whose first turn too many share, with the name of their tree."""
+    grow = lambda seen, t: F.concat(seen, F.array(F.xxhash64(F.element_at(seen, -1), t["role"], t["text"])))
+    paths = F.aggregate(F.slice("turns", 2, F.size("turns")), F.array("first"), grow)
+    ended = F.concat(paths, F.array(F.xxhash64(F.element_at(paths, -1), F.lit("end"))))  # conversations equal to the end share this too
+    hashed = written(many.select("conv_id", ended.alias("paths")), "chat-paths")
+    each = hashed.select("conv_id", F.posexplode("paths").alias("depth", "path"))
+    common = written(each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TREE_SIZE).select("path"), "chat-common")
+    deepest = each.join(common, "path").groupBy("conv_id").agg(F.max("depth").alias("depth")).withColumnRenamed("conv_id", "c")
+    found = hashed.join(deepest, F.col("conv_id").eqNullSafe(F.col("c")))
+    spots = written(found.select("c", F.get("paths", F.col("depth")).alias("above"), F.get("paths", F.col("depth") + 1).alias("below")), "chat-spots")
+    sizes = written(spots.groupBy("above").agg(F.count(F.lit(1)).alias("n")), "chat-cuts")
+    bin_ = F.pmod(F.coalesce("below", F.xxhash64("c")), F.ceil(F.col("n") / TREE_SIZE))
+    named = spots.join(sizes, "above").select("c", F.concat_ws("-", F.hex("above"), bin_).alias("tree"))
+    return many.join(named, F.col("conv_id").eqNullSafe(F.col("c"))).select("tree", "conv_id", "turns")
+
+
 def trees(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The nodes of all trees, see ``NODE``."""
     tune(rows.sparkSession)
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     whole = rows.select(F.col(id_col).cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     whole = written(whole.withColumn("first", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])), "chat-conversations")
-    sizes = whole.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TREE_SIZE)
-    slices = F.ceil(F.coalesce("n", F.lit(1)) / TREE_SIZE)
-    keyed = whole.join(written(sizes, "chat-sizes"), "first", "left").withColumn("tree", F.concat_ws("-", F.hex("first"), F.pmod(F.xxhash64("conv_id"), slices)))
+    sizes = written(whole.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TREE_SIZE).select("first"), "chat-sizes")
+    few = whole.join(sizes, "first", "left_anti").select(F.hex("first").alias("tree"), "conv_id", "turns")
+    keyed = few.unionByName(_cut(whole.join(sizes, "first", "left_semi")))
     schema = arrow_schema(NODE)
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -493,6 +493,28 @@ def test_chat_odd_rows(spark, monkeypatch):
     assert chat.round_trip(df.limit(0)).count() == 0
 
 
+def test_chat_cuts_keep_longer_beginnings(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TREE_SIZE", 6)
+    rows = [(c, k, "user", text) for c in range(120) for k, text in enumerate(["system", f"topic {c % 30}", f"detail {c % 60}", f"own {c}"])]
+    rows += [(200 + c, k, "user", text) for c in range(40) for k, text in enumerate(["system", "busy", f"detail {c % 10}", f"own {c}"])]
+    rows += [(300 + c, k, "user", text) for c in range(5) for k, text in enumerate(["system", "copied"])]
+    rows += [(c, k, "user", text) for c in [None, *range(400, 419)] for k, text in enumerate(["system", "copied often"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes = chat.trees(df).collect()
+    text = {(n["tree"], n["node"]): chat.parse("".join(map(chr, n["tokens"])))[0][1] for n in nodes}
+    above = {(n["tree"], n["node"]): (n["tree"], n["parent"]) for n in nodes}
+
+    def path(at):
+        return (*path(above[at]), text[at]) if at in text else ()
+
+    seen = Counter(path(at) for at in text)
+    # Every beginning that 6 conversations or fewer share stands once; one that more share, at most once a tree.
+    shared = Counter(p for turns in ([t for c, _, _, t in rows if c == i] for i in {r[0] for r in rows}) for p in {tuple(turns[:k]) for k in range(1, len(turns) + 1)})
+    assert set(seen) == set(shared) and all(seen[p] == 1 for p, n in shared.items() if n <= 6)
+    assert seen["system", "copied often"] <= 4 and len({n["tree"] for n in nodes}) < 60
+    assert chat_digest(chat.round_trip(df)) == chat_expected(rows)
+
+
 # 10
 
 
