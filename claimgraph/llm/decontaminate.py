@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes, id_text, to_batch, tune
+from .common import arrow_schema, as_bytes, id_text, map_rows, to_batch, tune, written
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
@@ -72,7 +72,7 @@ class SuffixArray:
         return out
 
     def _sort(self, at: np.ndarray) -> np.ndarray:
-        at = at.copy()
+        at = at[np.argsort(self.run[at], kind="stable")]  # of suffixes equal to the end of one, that one stays first
         todo = [(0, len(at))] if len(at) > 1 else []
         tied = np.arange(len(at))
         group = np.zeros(len(at), np.int64)
@@ -102,6 +102,15 @@ class Block:
     size: np.ndarray  # per window: its words
     owners: list[tuple[int, ...]]  # per window: the items that have it
     suffixes: SuffixArray
+    window: int
+
+    def all_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sizes of the windows of all items, those met before included."""
+        ends = np.flatnonzero(self.numbers == 0)
+        length = np.repeat(np.diff(ends, prepend=-1), np.diff(ends, prepend=-1)) - 1
+        size, left = np.minimum(length, self.window), self.suffixes.run
+        place = np.flatnonzero((left >= size) & (left > 0))
+        return place, size[place]
 
     @property
     def shortest(self) -> int:
@@ -123,7 +132,7 @@ def prepare(rows: list[tuple[int | None, bytes]], window: int) -> Block:
             found.setdefault(tuple(numbers[k : k + size]), (base + k, set()))[1].add(i)
         flat += [*numbers, 0]
     numbers = np.array(flat, np.int64)
-    return Block(vocabulary, [r[0] for r in rows], numbers, np.array([s for s, _ in found.values()], np.int64), np.array([len(k) for k in found], np.int64), [tuple(sorted(o)) for _, o in found.values()], SuffixArray(numbers, 1, 4 if len(vocabulary) < 1 << 16 else 2))
+    return Block(vocabulary, [r[0] for r in rows], numbers, np.array([s for s, _ in found.values()], np.int64), np.array([len(k) for k in found], np.int64), [tuple(sorted(o)) for _, o in found.values()], SuffixArray(numbers, 1, 4 if len(vocabulary) < 1 << 16 else 2), window)
 
 
 def blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> list[Sent]:
@@ -202,16 +211,17 @@ class Search:
         return which, self.array.at[ranks]
 
     def longest(self) -> Iterator[tuple[int, int, int]]:
-        """(place in the block, place in the shard, words): each benchmark suffix's longest match, of window size at least."""
-        b, at = self.block, self.array.at
-        if not len(b.start) or not len(at):
+        """(place in the block, place in the shard, words): all places of each benchmark suffix's longest match, of window size at least."""
+        at = self.array.at
+        place, size = self.block.all_windows()
+        if not len(place) or not len(at):
             return
-        low, high = self._bound(b.start, b.size, False), self._bound(b.start, b.size, True)
-        for w in np.flatnonzero(high > low):
-            place = int(b.start[w])
-            rank = int(self._bound(np.array([place]), np.array([self.bench.run[place]]), False)[0])
-            best = max(((self._common(int(at[r]), place), int(at[r])) for r in (rank - 1, rank) if 0 <= r < len(at)), default=(0, 0))
-            yield place, best[1], best[0]
+        place = place[self._bound(place, size, True) > self._bound(place, size, False)]
+        rank = self._bound(place, self.bench.run[place], False)
+        size = np.array([max(self._common(int(at[k]), p) for k in (r - 1, r) if 0 <= k < len(at)) for r, p in zip(rank.tolist(), place.tolist(), strict=True)], np.int64)
+        for p, n, low, high in zip(place.tolist(), size.tolist(), self._bound(place, size, False).tolist(), self._bound(place, size, True).tolist(), strict=True):
+            for k in at[low:high].tolist():
+                yield p, k, n
 
     def _common(self, at: int, place: int) -> int:
         n = int(min(self.array.run[at], self.bench.run[place]))
@@ -285,24 +295,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """Per shard and benchmark suffix with a window there: its longest verbatim match and where it is."""
+    """Per benchmark suffix with a window in the training text: its longest verbatim match, at every place that has it."""
     tune(docs.sparkSession)
     sent = blocks(benchmark, id_col=item_col, text_col=item_text, window=window)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for shard in _shards(it):
             ids = shard.column("doc_id").to_pylist()
             texts = [words(t) for t in as_bytes(shard, "text")]
-            rows = []
-            for block in map(_loaded, sent):
+            for number, block in enumerate(map(_loaded, sent)):
                 search = Search(texts, block)
                 ends = np.flatnonzero(block.numbers == 0)
                 for place, at, n in search.longest():
                     d, i = int(search.document(np.array([at]))[0]), int(np.searchsorted(ends, place))
-                    rows.append((ids[d], at - int(search.starts[d]), block.items[i], place - (int(ends[i - 1]) + 1 if i else 0), n))
-            yield to_batch(arrow_schema(MATCH), rows)
+                    yield ids[d], at - int(search.starts[d]), block.items[i], place - (int(ends[i - 1]) + 1 if i else 0), n, number, place
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, MATCH)
+    found = written(map_rows(id_text(docs, id_col, text_col), find, MATCH + ", block long, place long"), "benchmark-matches")  # the longest of each shard
+    best = found.groupBy("block", "place").agg(F.max("length").alias("length"))
+    return found.join(best, ["block", "place", "length"]).select("doc_id", "doc_word", "item_id", "item_word", "length")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:

@@ -448,6 +448,44 @@ def test_decontamination_odd_rows(spark, monkeypatch):
             break
 
 
+def matches_expected(docs, items, window=10):
+    """Every suffix of every item against every place."""
+    out = []
+    for i, t in items:
+        w = item_words(t)
+        size = min(window, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            common = [(sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(w[k:], v[j:], strict=False))), d, j) for d, v in docs for j in range(len(v))]
+            best = max((n for n, _, _ in common), default=0)
+            out += [(d, j, i, k, n) for n, d, j in common if n == best >= size]
+    return key(out)
+
+
+def test_matches_are_the_longest_and_at_every_place(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(rng.choice(["a", "b", "c"], n))
+    start = "one two three four five six seven eight nine ten"
+    items = [(1, f"{start} eleven"), (2, f"{start} twelve thirteen"), (2, f"{start} eleven"), (None, f"{start} eleven"), (3, "a b c a"), (4, None), *((5 + i, say(int(n))) for i, n in enumerate(rng.integers(1, 30, 12)))]
+    docs = [(1, f"x {start} twelve thirteen y"), (2, f"{start} eleven"), (3, f"{start} eleven, {start} eleven"), (4, None), *((10 + i, say(int(n))) for i, n in enumerate(rng.integers(1, 40, 30)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = matches_expected([(d, item_words(t)) for d, t in docs], items)
+    for block, shard in ((8 << 20, 8 << 20), (20, 300)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+        assert key(decontaminate.matches(df, bench).collect()) == expected
+    assert {m[4] for m in expected if m[2] == 2 and m[3] == 0} == {11, 12}
+
+
+@pytest.mark.parametrize("size", [4, 8])
+def test_suffixes_that_end_come_first(size):
+    texts = [b"a b c d e f g h i j".split(), b"a b c d e f g h".split()[:size]]
+    rows = [(0, b"a b c d e f g h i j"), (1, b" ".join(texts[1]))]
+    array = decontaminate.Search(texts, decontaminate.prepare(rows, 10)).array
+    told = [tuple(array.numbers[a : a + array.run[a]].tolist()) for a in array.at]
+    assert told == sorted(told)
+
+
 # 9
 
 
