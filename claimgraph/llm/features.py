@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most: those with the least hashes of id and text.
-FIT_ROWS = 3_000
+FIT_ROWS = 4_000
 CACHED = 300_000
 CHUNK = 1 << 20
 #: Entries of sparse rows multiplied at a time.

@@ -584,6 +584,11 @@ def test_quality_held_out():
     assert abs(p.mean() - y.mean()) < 0.05
 
 
+def test_quality_is_fitted_on_4000_rows(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert len(quality.labelled(docs, docs.selectExpr("doc_id", "1 as quality"), "quality")) == 4000
+
+
 def test_quality_odd_rows(spark):
     df, texts = odd_docs(spark)
     more = [(60, "a b c d e f g h " * 5), (61, "a b c d e f g h x a b c d e f g h"), (62, "l\nl\n \n \nl\r\nl"), (63, "w " * 19), (64, " ".join(f"w{i}" for i in range(20)))]
