@@ -11,56 +11,93 @@ import posixpath
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/claimgraph"
 ARROW_BATCH_BYTES = 16 << 20
 
-_made: list[str] = []
+
+class Owner:
+    """The folders made on behalf of one call."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def close(self) -> None:
+        while self.folders:
+            delete(self.spark, self.folders.pop())
+
+
+_owner: ContextVar[Owner | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[Owner]:
+    """Folders made within the block belong to it and are deleted at its end; those of others are never touched.
+
+    Results are lazy: write what is to outlive the block elsewhere first.  Without an owner folders stay, below the
+    shared folder, for whoever reads the result.
+    """
+    own = Owner(spark)
+    token = _owner.set(own)
+    try:
+        yield own
+    finally:
+        _owner.reset(token)
+        own.close()
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def shared_dir(spark: SparkSession, name: str, *, keep: bool = False) -> str:
-    """A fresh folder below the shared one; ``release`` deletes it unless ``keep`` is set."""
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; it belongs to the innermost ``owned`` block, if there is one."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _made.append(path)
+    if (own := _owner.get()) is not None:
+        own.folders.append(path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the folders made so far; call it once the results read from them are written elsewhere."""
-    while _made:
-        _delete(spark, _made.pop())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that the table does not have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch brings to a Python worker, whatever the length of the texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") or 0) > ARROW_BATCH_BYTES:
@@ -102,7 +139,7 @@ def to_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a flat DDL schema."""
     kinds = {
-        "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(),
+        "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(),
         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])

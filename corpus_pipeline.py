@@ -9,6 +9,11 @@ in place.
 * ``decontamination`` drops texts that hold a window of the benchmark.
 * ``secrets`` replaces every secret by a mark and keeps the document.
 * ``packing`` places the pieces of all that is left in sequences.
+
+Defined cases: a null or empty text has no words, so ``quality`` drops it; the other stages, given one, keep it (null
+stays null) and ``packing`` makes a piece of the end id alone of it.  Null ids are kept; ``near_duplicates`` keeps one
+row of a group, that with the least id, and of repeated rows one.  Very long texts are judged whole.  Columns of any
+name pass through all but the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimgraph.llm import decontaminate, packing, quality, secrets, simhash
-from claimgraph.llm.common import release, shared_dir
+from claimgraph.llm.common import delete, owned, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,22 +33,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the stage before is written by now
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return secrets.redact(docs, chars_col="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return packing.pack(docs)
 
 
@@ -60,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        # Not in the list of folders to release: the next stage reads it until it is written itself.
-        path = shared_dir(spark, f"pipeline-{name}", keep=True)
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Every stage's rows are written and read again; what a stage made on the way is deleted once they are, and its
+    rows once the next stage's are.  Only the last stage's rows stay, for the caller (or an ``owned`` block around)."""
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = shared_dir(spark, f"pipeline-{name}")
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
