@@ -14,7 +14,8 @@ Offsets count code points; a span is the whole match.  Matches are leftmost and
 one that fails its rule's length is dropped after matching, as it has consumed its characters.
 
 Defined cases: a null text has no spans and the digest of an empty string; null and repeated ids are kept, each
-row scanned for itself; an empty table gives no rows; other columns are ignored.
+row scanned for itself; an empty table gives no rows; other columns are ignored, or pass through where texts are
+masked, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import free_names, id_text, written
 
 try:  # the parser behind re has moved between versions
     from re import _constants as _c
@@ -190,50 +191,92 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.filter("n = size").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often its result refers to it, also within functions of arrays."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, start: int, f) -> Column:
+    """What ``f`` folds of the values before each, in about the square root of their number of blocks: a list that grows
+    by one value at a time is copied each time, so blocks keep the work near linear."""
+
+    def before(items: Column, first: Column) -> Column:
+        step = lambda acc, x: F.struct(f(acc["at"], x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen"))
+        return F.aggregate(items, F.struct(first.alias("at"), F.array().cast("array<int>").alias("seen")), step, lambda acc: acc["seen"])
+
+    def of_blocks(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(start), f))
+        return F.flatten(F.zip_with(blocks, before(whole, F.lit(start)), before))
+
+    return bound(blocks_of(values), of_blocks)
+
+
+def blocks_of(values: Column) -> Column:
+    """An array in blocks of about the square root of its size; one empty block if it is empty."""
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / width)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * width + 1, width))
+
+    return bound(values, cut)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of a rule's matches, from the texts between them."""
+    """Array of (start, end) of a rule's matches, from the texts between them.  The group is found again within each
+    match, which is the same match as no rule looks beyond its own."""
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["0"]
-        end = start + F.coalesce(x["1"], F.lit(0))
-        hit = F.coalesce(x["2"] >= rule.least, F.lit(False)) & x["1"].isNotNull()
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    tested = F.length if not rule.group else lambda w: F.length(F.regexp_extract(w, rule.pattern, rule.group))
+    sizes = F.filter(F.zip_with(between, whole, lambda gap, w: F.struct(gap.alias("gap"), F.length(w).alias("size"), tested(w).alias("tested"))), lambda x: x["size"].isNotNull())
+
+    def placed(sizes: Column) -> Column:
+        start = running(F.transform(sizes, lambda x: x["gap"] + x["size"]), 0, lambda at, x: at + x)
+        spans = F.zip_with(start, sizes, lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["tested"].alias("tested")))
+        return F.filter(spans, lambda x: x["tested"] >= rule.least)
 
-    sizes = F.arrays_zip(between, F.transform(whole, F.length), F.transform(tested, F.length))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return bound(sizes, placed)
 
 
 def _named(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Every row with ``__secret_spans``, an array of (start, rank, kind, end) in order; ``keep`` keeps all columns of ``docs``."""
-    if keep:
-        base = docs.withColumns({"__secret_key": F.xxhash64(F.col(id_col), F.col(text_col)), "__secret_text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
-    else:
-        base = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("__secret_key"), F.coalesce("text", F.lit("")).alias("__secret_text"))
+def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written postings of a corpus, for the trigrams of these rules; ``scan`` takes it for any rules with no others."""
+    keyed = docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wanted = sorted({t for q in _indexed(rules).values() for c in q for t in c})
+    return written(postings(keyed, wanted), "secret-postings") if wanted else docs.sparkSession.createDataFrame([], "trigram string, key long")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _indexed(rules: tuple[Rule, ...]) -> dict[str, Query]:
+    """The queries of the rules that have mandatory trigrams."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed = {k: q for k, q in queries.items() if frozenset() not in q}
-    trigrams = sorted({t for q in indexed.values() for c in q for t in c})
-    found = None
-    if trigrams:
-        index = written(postings(base.select(F.col("__secret_key").alias("key"), F.col("__secret_text").alias("text")), trigrams), "secret-postings")
-        found = written(candidates(index, indexed).select(F.col("key").alias("__secret_key"), F.col("kinds").alias("__secret_kinds")), "secret-candidates")
+    return {k: q for k, q in queries.items() if frozenset() not in q}
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str = "doc_id", text_col: str = "text", trigrams: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """Every row, all columns, with an array of (start, rank, kind, end) in order, and that column's name."""
+    key, kinds, text, spans = free_names(docs, "secret_key", "secret_kinds", "secret_text", "secret_spans")
+    base = docs.withColumns({key: _key(id_col, text_col), text: F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
+    indexed = _indexed(rules)
+    if indexed:
+        trigrams = index(docs, rules, id_col=id_col, text_col=text_col) if trigrams is None else trigrams
+        found = written(candidates(trigrams, indexed).select(F.col("key").alias(key), F.col("kinds").alias(kinds)), "secret-candidates")
         few = found.count() <= BROADCAST_CANDIDATES
-        base = base.join(F.broadcast(found) if few else found, "__secret_key", "left")
+        base = base.join(F.broadcast(found) if few else found, key, "left")
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     all_spans = []
     for rank, rule in enumerate(rules):
-        own = _named(_spans(F.col("__secret_text"), rule), rank, rule.kind)
-        due = F.array_contains("__secret_kinds", rule.kind) if rule.kind in indexed else F.col("__secret_text").rlike(rule.pattern)
+        own = _named(_spans(F.col(text), rule), rank, rule.kind)
+        due = F.array_contains(kinds, rule.kind) if rule.kind in indexed else F.col(text).rlike(rule.pattern)
         all_spans.append(F.when(due, own).otherwise(none))
-    out = base.withColumn("__secret_spans", F.array_sort(F.concat(*all_spans)))
-    return out.drop("__secret_key", "__secret_kinds", "__secret_text")
+    out = base.withColumn(spans, F.array_sort(F.concat(*all_spans)))
+    return out.select(*docs.columns, spans), spans
 
 
 def joined(spans: Column) -> Column:
@@ -241,32 +284,40 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: doc_id, the counts of the base kinds, the digest of the base spans, and all spans."""
-    found = scan(docs, **options)
+    found, spans = scan(id_text(docs, id_col, text_col), **options)
     base_kinds = [r.kind for r in BASE]
-    base = F.filter("__secret_spans", lambda s: s["kind"].isin(base_kinds))
-    count = lambda kind: F.size(F.filter("__secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in base_kinds], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("__secret_spans")).alias("spans"))
+    base = F.filter(spans, lambda s: s["kind"].isin(base_kinds))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in base_kinds], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", chars_col: str | None = None, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The same rows and columns; every span of the text is replaced, overlapping ones as one; ``chars_col`` follows its length."""
-    found = scan(docs, rules, id_col=id_col, text_col=text_col, keep=True)
-    text = F.col(text_col)
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with its spans replaced, overlapping ones as one.  A substring is found from the text's beginning, so the
+    text is cut into about the square root of the number of spans of blocks first."""
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.when(new, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+    def cover(spans: Column) -> Column:
+        covered = running(F.transform(spans, lambda s: s["end"]), 0, lambda at, x: F.greatest(at, x))
+        tagged = F.zip_with(spans, covered, lambda s, c: F.struct(s["start"].alias("start"), c.alias("covered")))
+        first = F.filter(tagged, lambda x: x["start"] >= x["covered"])  # the text from covered to start stays, then comes a mask
+        rest = text.substr(F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(blocks_of(first), block), ""), rest)
 
-    masked = F.aggregate("__secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    hit = F.size("__secret_spans") > 0
-    out = found.withColumn("__secret_masked", F.when(hit, masked).otherwise(text))
-    if chars_col:
-        out = out.withColumn(chars_col, F.when(hit, F.length("__secret_masked").cast("long")).otherwise(F.col(chars_col)))
-    return out.withColumn(text_col, F.col("__secret_masked")).select(*docs.columns)
+    def block(own: Column) -> Column:
+        at, stop = own[0]["covered"], F.element_at(own, -1)["start"]
+        kept = lambda part: F.transform(own, lambda x: F.concat(part.substr(x["covered"] - at + 1, x["start"] - x["covered"]), F.lit(mask)))
+        return F.array_join(bound(text.substr(at + 1, stop - at), kept), "")
+
+    return bound(spans, cover)
 
 
-def python_pattern(rule: Rule) -> re.Pattern:
-    return re.compile(rule.pattern)
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", chars_col: str | None = None, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """The same rows and columns; every span of the text is replaced, overlapping ones as one; ``chars_col`` follows its length."""
+    found, spans = scan(docs, rules, id_col=id_col, text_col=text_col)
+    (masked,) = free_names(found, "secret_masked")
+    hit = F.size(spans) > 0
+    out = found.withColumn(masked, F.when(hit, _masked(F.col(text_col), F.col(spans), mask)).otherwise(F.col(text_col)))
+    if chars_col:
+        out = out.withColumn(chars_col, F.when(hit, F.length(masked).cast("long")).otherwise(F.col(chars_col)))
+    return out.withColumn(text_col, F.col(masked)).select(*docs.columns)
