@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes, id_text, row_key, to_batch, tune, written
+from .common import arrow_schema, as_bytes, free_names, id_text, row_key, to_batch, tune, written
 
 RADIUS = 3
 SLICE = 2_000_000
@@ -244,14 +244,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     repeated = rows.filter("n > 1").join(chosen, rows["key"] == chosen["keep"], "left_semi").select("key").distinct()
     repeated = written(repeated, "simhash-repeated")
 
-    keyed = docs.withColumn("__row_key", row_key_of(id_col, text_col))
+    (name,) = free_names(docs, "row_key")
+    keyed = docs.withColumn(name, row_key_of(id_col, text_col))
     few = dropped.count() <= BROADCAST_KEYS
-    drop = dropped.withColumnRenamed("key", "__row_key")
-    kept = keyed.join(F.broadcast(drop) if few else drop, "__row_key", "left_anti")
+    drop = dropped.withColumnRenamed("key", name)
+    kept = keyed.join(F.broadcast(drop) if few else drop, name, "left_anti")
     if not repeated.isEmpty():
-        again = repeated.withColumnRenamed("key", "__row_key")
-        once = kept.join(again, "__row_key", "left_semi").dropDuplicates(["__row_key"])
-        kept = kept.join(again, "__row_key", "left_anti").unionByName(once)
+        again = repeated.withColumnRenamed("key", name)
+        once = kept.join(again, name, "left_semi").dropDuplicates([name])
+        kept = kept.join(again, name, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
