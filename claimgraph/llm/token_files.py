@@ -2,8 +2,8 @@
 
 A corpus becomes shard files in ascending document order.  A shard holds the ids one after another, then a
 footer: the documents' end offsets and their ids, both as Elias-Fano sequences.  Such a sequence of n values
-below u takes about 2 + log2(u / n) bits a value; its select structure, one position in every ``SAMPLE`` set bits,
-answers "where does document i start" by reading a few bytes, so that no table of 64-bit offsets is kept.
+below u takes about 2 + log2(u / n) bits a value; its select structure, one position in every ``SAMPLE`` set bits
+(an eighth of a bit a value, as a position among at most 3 n bits fits 32), answers "where does document i start" by reading a few bytes, so that no table of 64-bit offsets is kept.
 
 Documents are dealt to tasks by quantiles of their id, sorted there and streamed out; a task holds the boundaries
 of one shard and one document's ids at a time.
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, locate, map_rows, opened, published, shared_dir, tune, written
+from .common import as_bytes, id_text, map_rows, opened, published, shared_dir, tune, written
 from .tokens import encoder
 
-MAGIC = b"CGTOKEF1"
+MAGIC = b"CGTOKEF2"
 SAMPLE = 256
 #: Target sizes; they bound what a task holds, not what is kept.
 DOCS_PER_RANGE = 10_000
@@ -50,14 +50,20 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         if not n:
-            return cls(0, 0, b"", b"", np.zeros(0, np.uint64))
+            return cls(0, 0, b"", b"", np.zeros(0, np.uint32))
         universe = int(v[-1]) + 1
         bits = max(0, (universe // n).bit_length() - 1)
         set_at = (v >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
         high = np.zeros(int(set_at[-1]) + 1, np.uint8)
         high[set_at.astype(np.int64)] = 1
         low = ((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), set_at[::SAMPLE].copy())
+        return cls(n, bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), cls._samples(set_at))
+
+    @staticmethod
+    def _samples(set_at: np.ndarray) -> np.ndarray:
+        if int(set_at[-1]) >= 1 << 32:
+            raise ValueError("a shard holds at most 2 ** 32 / 3 documents")
+        return set_at[::SAMPLE].astype(np.uint32)
 
     def _low(self, i: int, j: int) -> np.ndarray:
         b = self.low_bits
@@ -84,14 +90,14 @@ class EliasFano:
 
     def dump(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
-        return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
+        return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
     @classmethod
     def load(cls, data: bytes, at: int = 0) -> tuple[EliasFano, int]:
         n, bits, nl, nh, ns = struct.unpack_from("<QBQQQ", data, at)
         at += struct.calcsize("<QBQQQ")
-        low, high, samples = data[at : at + nl], data[at + nl : at + nl + nh], data[at + nl + nh : at + nl + nh + 8 * ns]
-        return cls(n, bits, low, high, np.frombuffer(samples, "<u8")), at + nl + nh + 8 * ns
+        low, high, samples = data[at : at + nl], data[at + nl : at + nl + nh], data[at + nl + nh : at + nl + nh + 4 * ns]
+        return cls(n, bits, low, high, np.frombuffer(samples, "<u4")), at + nl + nh + 4 * ns
 
 
 class ShardWriter:
@@ -232,9 +238,3 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
     out = shared_dir(docs.sparkSession, "token-files")
     return read_files(written(write_files(docs, out, **options), "token-manifest"))
 
-
-def list_files(spark: SparkSession, out: str) -> list[str]:
-    import pyarrow.fs as pafs
-
-    fs, path = locate(out)
-    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".tok"))

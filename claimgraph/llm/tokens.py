@@ -5,6 +5,9 @@ its space-separated words, one after another, in lower case.  It also starts ane
 a mark, so a word's ids are those of the word without a mark at its end, and of the mark.  Each worker keeps up to
 ``CACHED_WORDS`` words, of which those met first stay for good, and encodes the others again; the cache bounds
 memory only.  Texts that hold the beginning of a special token keep their case and are encoded word by word.
+
+Another tokenizer need not be like that: what is assumed is tried on ``PROBES`` when an encoder is made, and if any of
+them comes out otherwise, every text is encoded whole.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ LONGEST_CACHED = 64
 MARKS = frozenset(b".,;:!?|")
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 TOGETHER = 64
+#: Texts on which word by word and whole encoding must agree.
+PROBES = ("", "a", " lead  and trail ", "One, two; three.\nFOUR: five!\tsix? seven|", "don't we'll it's", "x=1 (y_2) [z-3] <b> http://a.b/c?d=e&f #tag @me 50% $9", "caf\u00e9 stra\u00dfe \u4f60\u597d \U0001f600 na\u00efve.", "a.b.c... wait-- what?! 1,000.50", "AbC dEf GHI", "tokenization Unbelievable antidisestablishmentarianism")
 
 
 def default_tokenizer() -> str:
@@ -45,6 +50,9 @@ class WordEncoder:
         # A special token may part words that are encoded together, as no word holds it.
         self.separator, self.separator_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
         self.lower = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.whole = False
+        self.whole = any(self.ids(t.encode()).tolist() != self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES)
+        self.words.clear()
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         encode = self.tokenizer.encode_batch_fast
@@ -78,6 +86,8 @@ class WordEncoder:
         return found | marks
 
     def encode(self, text: bytes) -> bytes:
+        if self.whole:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         if self.lower and b"<|" not in text:
             text = text.lower()
         words = text.split()  # ASCII white space only
