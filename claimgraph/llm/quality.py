@@ -1,6 +1,6 @@
 """Quality rules: fixed counts of a text, and a calibrated classifier of hashed n-grams against fixed thresholds.
 
-The classifier is a logistic regression over hashed word uni- and bigrams and hashed byte 3- and 5-grams, as
+The classifier is a logistic regression over hashed word uni- and bigrams and hashed character 3- and 5-grams, as
 relative frequencies of each family, fitted on a bounded sample of labelled quality rows (``FIT_ROWS``).  A fifth
 of the sample is held out to calibrate its scores to probabilities (a logistic curve over the score).  Documents
 are scored in Arrow batches: a text passes if it meets the count rules and its probability of good quality reaches
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import as_bytes, id_text, tune
-from .features import CHUNK, FIT_ROWS, WordHashes, char_grams, dot, labelled, mix, sigmoid, sparse, transposed_dot
+from .features import CHUNK, FIT_ROWS, WordHashes, char_grams, code_points, dot, labelled, mix, sigmoid, sparse, transposed_dot
 
 BITS = 17
 FAMILIES = 4
+#: A good text lost is held three times as bad as a bad one kept, so texts stay from 1 / (1 + 3) on.
 KEEP_AT = 0.25
 LEAST_WORDS = 20
 #: In hundredths of the words.
@@ -117,9 +118,10 @@ def _buckets(text: bytes, words: list[bytes], hashes: WordHashes) -> Iterator[tu
     h = hashes(words).astype(np.uint64)
     yield 0, mix(h, BITS)
     yield 1, mix((h[:-1] << np.uint64(32)) ^ h[1:], BITS) if len(h) > 1 else np.zeros(0, np.int64)
+    points = code_points(text)
     for k, n in ((2, 3), (3, 5)):
-        for i in range(0, max(1, len(text)), CHUNK):  # a long text in parts, so that memory stays bounded
-            yield k, char_grams(text[i : i + CHUNK + n - 1], n, BITS)
+        for i in range(0, max(1, len(points)), CHUNK):  # a long text in parts, so that memory stays bounded
+            yield k, char_grams(points[i : i + CHUNK + n - 1], n, BITS)
 
 
 def family_sums(text: bytes, words: list[bytes], hashes: WordHashes, value) -> list[tuple[float, int]]:
@@ -143,20 +145,24 @@ def vector(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(columns), np.concatenate(values)
 
 
-def _fit(data: tuple, y: np.ndarray, size: int, rounds: int = 150, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam over the whole sample; both classes weigh the same."""
+def _fit(data: tuple, y: np.ndarray, size: int, passes: int = 12, parts: int = 12, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam, a part of the rows a step; both classes weigh the same."""
+    r, c, v = data
     n = len(y)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
-    w, bias = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        g = share * (sigmoid(dot(data, w, n) + bias) - y)
-        gw, gb = transposed_dot(data, g, size) + decay * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        a, b = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    return w, bias
+    parts = max(1, min(parts, n // 100))
+    cuts = [n * k // parts for k in range(parts + 1)]
+    edges = np.searchsorted(r, cuts)  # entries are in order of their rows
+    w, m, s, t = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), 0  # the last is the bias
+    for k in range(passes * parts):
+        t, (a, b), (i, j) = t + 1, edges[k % parts :][:2], cuts[k % parts :][:2]
+        own = (r[a:b] - np.int32(i), c[a:b], v[a:b])
+        e = share[i:j] * (sigmoid(dot(own, w, j - i) + w[-1]) - y[i:j]) * parts
+        g = np.append(transposed_dot(own, e, size) + decay * w[:-1], e.sum())
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        step = rate / (1 + 4 * k / (passes * parts))
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Scorer | None:
