@@ -6,7 +6,8 @@ are planned as a histogram: the driver holds one count per length however large
 descending order; among the groups of equal bins where a piece meets every constraint, it takes the best by
 
 * ``norm``: the least weighted norm of the residual capacities that would be left, or
-* ``dot``: the least weighted dot product of its demands with the residual capacities.
+* ``dot``: the greatest weighted dot product of its demands with the residual capacities, per length of the residual:
+  the bin whose spare room is most alike in shape to the piece; of equally alike ones the fullest.
 
 A piece makes the bin it enters fit still better, so equal pieces fill it as far as they go and whole groups are
 planned at once.  Each piece then finds its place by its rank among the pieces of its length: a running count
@@ -62,7 +63,10 @@ def plan(counts: dict[int, int], cap: Capacities) -> list[tuple[int, int, int, i
             fits = np.flatnonzero((free >= demand).all(axis=1))
             if len(fits):
                 if cap.score == "dot":
-                    score = ((free[fits] / limits) * (demand / limits) * weights).sum(axis=1)
+                    spare = free[fits] / limits
+                    length_of = np.sqrt((spare * spare * weights).sum(axis=1))
+                    alike = (spare * (demand / limits) * weights).sum(axis=1) / np.maximum(length_of, 1e-12)
+                    score = np.round(-alike, 9) + 1e-12 * length_of
                 else:
                     score = ((((free[fits] - demand) / limits) ** 2) * weights).sum(axis=1)
                 g = fits[np.argmin(score)]
