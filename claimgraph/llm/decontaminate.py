@@ -3,7 +3,8 @@
 Every batch of documents is a shard: its words, as numbers of the benchmark's vocabulary, get a suffix array, and
 every suffix of every benchmark item is binary-searched in it.  The search gives the range of training suffixes
 that start with an item's window, so each occurrence and its place, and from the range's neighbours the longest
-verbatim match of the suffix.  A word outside the vocabulary, and a document's end, is smaller than all words and
+verbatim match of the suffix.  Each place found is searched in the benchmark's own suffix array in turn, which gives a
+document's longest verbatim match and where both stand.  A word outside the vocabulary, and a document's end, is smaller than all words and
 matches nothing; suffixes that meet one before the shortest window's length can hold no match and are left out of
 the array.  Results are complete per document, so nothing is shuffled, however many documents share a passage.
 
@@ -37,7 +38,7 @@ from .common import arrow_schema, as_bytes, id_text, map_rows, to_batch, tune, w
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_word long, longest_item long, longest_item_word long"
 MATCH = "doc_id long, doc_word long, item_id long, item_word long, length long"
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -169,24 +170,26 @@ class Search:
         self.bench = block.suffixes
         self.array = SuffixArray(numbers, block.shortest, self.bench.step)
 
-    def _bound(self, place: np.ndarray, size: np.ndarray, right: bool) -> np.ndarray:
-        """Per query, the number of suffixes that are smaller (or, cut to its size, not greater)."""
-        at = self.array.at
+    def _bound(self, place: np.ndarray, size: np.ndarray, right: bool, inside: bool = True) -> np.ndarray:
+        """Per query, the number of suffixes that are smaller (or, cut to its size, not greater): of benchmark suffixes
+        among the training suffixes (``inside``), or the other way round."""
+        sorted_, asked = (self.array, self.bench) if inside else (self.bench, self.array)
+        at = sorted_.at
         low, high = np.zeros(len(place), np.int64), np.full(len(place), len(at), np.int64)
         while len(open_ := np.flatnonzero(low < high)):
             mid = (low[open_] + high[open_]) // 2
-            sign = self._compare(at[mid], place[open_], size[open_])
+            sign = self._compare(sorted_, at[mid], asked, place[open_], size[open_])
             up = sign <= 0 if right else sign < 0
             low[open_[up]] = mid[up] + 1
             high[open_[~up]] = mid[~up]
         return low
 
-    def _compare(self, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Sign of (training suffix, cut to size) against (benchmark suffix, cut to size)."""
+    def _compare(self, sorted_: SuffixArray, at: np.ndarray, asked: SuffixArray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Sign of (sorted suffix, cut to size) against (query, cut to size)."""
         out = np.zeros(len(at), np.int64)
         todo, depth = np.arange(len(at)), 0
         while len(todo):
-            a, b = self._cut(self.array, at[todo], size[todo], depth), self._cut(self.bench, place[todo], size[todo], depth)
+            a, b = self._cut(sorted_, at[todo], size[todo], depth), self._cut(asked, place[todo], size[todo], depth)
             out[todo] = (a > b).astype(np.int64) - (a < b)
             depth += self.array.step
             todo = todo[(a == b) & (size[todo] > depth)]
@@ -228,6 +231,45 @@ class Search:
         same = self.array.numbers[at : at + n] == self.bench.numbers[place : place + n]
         return n if same.all() else int(np.argmin(same))
 
+    def longest_of_documents(self, which: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int, int | None, int]]:
+        """(document, words, its word, item, the item's word) of the longest match of each document with a window; of
+        equally long ones the first in the document, then that of the least item.  A match is as long as a window at least."""
+        if not len(places):
+            return
+        b, at = self.block, self.bench.at
+        place, own = np.unique(places, return_inverse=True)
+        size = np.zeros(len(place), np.int64)
+        np.maximum.at(size, own, b.size[which])
+        # A window of a whole short item ends with it; a full one may go on, by as much as with a neighbour of its rank.
+        full = np.flatnonzero(size == b.window)
+        rank = self._bound(place[full], self.array.run[place[full]], False, inside=False)
+        for k in (rank - 1, rank):
+            some = (k >= 0) & (k < len(at))
+            size[full[some]] = np.maximum(size[full[some]], self._commons(place[full[some]], at[k[some]]))
+        doc = self.document(place)
+        order = np.lexsort((place, -size, doc))
+        first = order[np.concatenate([[True], np.diff(doc[order]) > 0])]
+        low, high = (self._bound(place[first], size[first], right, inside=False) for right in (False, True))
+        ends = np.flatnonzero(b.numbers == 0)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        for f, lo, hi in zip(first.tolist(), low.tolist(), high.tolist(), strict=True):
+            spots = at[lo:hi]
+            item = np.searchsorted(ends, spots)
+            # A short match is a window only where it is a whole item.
+            kept = (size[f] >= b.window) | (ends[item] - begins[item] == size[f])
+            names = [((b.items[i] is None, b.items[i] or 0), s - int(begins[i])) for i, s in zip(item[kept].tolist(), spots[kept].tolist(), strict=True)]
+            (null, name), word = min(names)
+            yield int(doc[f]), int(size[f]), int(place[f] - self.starts[doc[f]]), None if null else name, word
+
+    def _commons(self, place: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Words that training and benchmark suffixes share, pair by pair."""
+        most = np.minimum(self.array.run[place], self.bench.run[other])
+        out, todo = np.zeros(len(place), np.int64), np.arange(len(place))
+        while len(todo := todo[out[todo] < most[todo]]):
+            todo = todo[self.array.numbers[place[todo] + out[todo]] == self.bench.numbers[other[todo] + out[todo]]]
+            out[todo] += 1
+        return out
+
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, "right") - 1
 
@@ -246,12 +288,14 @@ def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i)
 
 
-def _judge(texts: list[list[bytes]], sent: list[Sent]) -> tuple[np.ndarray, list[set[str]]]:
-    """Per document: hit words, and the items whose windows occur."""
+def _judge(texts: list[list[bytes]], sent: list[Sent]) -> tuple[np.ndarray, list[set[str]], list[tuple]]:
+    """Per document: hit words, the items whose windows occur, and the longest match (words, word, item, item's word)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     change = np.zeros(int(starts[-1]) + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
+    longest: list[tuple] = [(0, None, None, None)] * len(texts)
+    rank = lambda m: (-m[0], m[1], m[2] is None, m[2] or 0, m[3])
     for block in map(_loaded, sent):
         search = Search(texts, block)
         which, places = search.windows()
@@ -260,8 +304,10 @@ def _judge(texts: list[list[bytes]], sent: list[Sent]) -> tuple[np.ndarray, list
         doc = search.document(places)
         for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
             items[d] |= {str(block.items[i]) for i in block.owners[w] if block.items[i] is not None}
+        for d, *found in search.longest_of_documents(which, places):
+            longest[d] = min(tuple(found), longest[d], key=rank) if longest[d][0] else tuple(found)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-    return hit[starts[1:] - 1] - hit[starts[:-1]], items
+    return hit[starts[1:] - 1] - hit[starts[:-1]], items, longest
 
 
 _cache: dict[str, Block] = {}
@@ -277,7 +323,8 @@ def _loaded(sent: Sent) -> Block:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest verbatim match: its words, the
+    word of the document where it begins, the item that has it and the item's word (0 and nulls without a window)."""
     tune(docs.sparkSession)
     sent = blocks(benchmark, id_col=item_col, text_col=item_text, window=window)
     schema = arrow_schema(RESULT)
@@ -285,10 +332,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(it):
             texts = [words(t) for t in as_bytes(shard, "text")]
-            hits, items = _judge(texts, sent)
+            hits, items, longest = _judge(texts, sent)
             yield to_batch(schema, [
-                (d, len(t), int(h), len(i), hashlib.sha256(",".join(sorted(i)).encode()).hexdigest(), bool(h))
-                for d, t, h, i in zip(shard.column("doc_id").to_pylist(), texts, hits, items, strict=True)
+                (d, len(t), int(h), len(i), hashlib.sha256(",".join(sorted(i)).encode()).hexdigest(), bool(h), *m)
+                for d, t, h, i, m in zip(shard.column("doc_id").to_pylist(), texts, hits, items, longest, strict=True)
             ])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, RESULT)
@@ -325,7 +372,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
             renamed = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_col)], names=["row", "text"])
             clean = [np.zeros(0, bool)]
             for shard in _shards([renamed]):
-                hits, _ = _judge([words(t) for t in as_bytes(shard, "text")], sent)
+                hits, _, _ = _judge([words(t) for t in as_bytes(shard, "text")], sent)
                 clean.append(hits == 0)
             yield batch.filter(pa.array(np.concatenate(clean)))
 

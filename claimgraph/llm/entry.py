@@ -85,8 +85,13 @@ d AS (SELECT doc_id, row_number() OVER () r, {_WORDS} w FROM documents), sizes A
 p AS (SELECT r, n, k, array_to_string(w[k + 1 : k + n], ' ') s FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) k FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT r, p.n, k, item_id FROM p JOIN win ON p.s = win.s AND p.n = win.n),
 cov AS (SELECT r, count(DISTINCT q) n_hit FROM (SELECT r, unnest(range(k, k + n)) q FROM (SELECT DISTINCT r, k, n FROM hit)) GROUP BY r),
-its AS (SELECT r, count(*) n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
-SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
+its AS (SELECT r, count(*) n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r),
+spot AS (SELECT item, item_id, n, j, array_to_string(w[j + 1 : j + n], ' ') s FROM (SELECT *, unnest(range(len(w) - n + 1)) j FROM (SELECT *, row_number() OVER () item FROM x))),
+met AS (SELECT r, k, p.n, item, item_id, j, k - row_number() OVER (PARTITION BY r, item, p.n, k - j ORDER BY k) run FROM p JOIN spot ON p.s = spot.s AND p.n = spot.n),
+long AS (SELECT r, min(k) k, item_id, min(j) j, max(n) + count(*) - 1 size FROM met GROUP BY r, item, item_id, n, k - j, run),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY size DESC, k, item_id NULLS LAST, j) o FROM long) WHERE o = 1)
+SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
+ coalesce(size, 0) longest, k longest_word, item_id longest_item, j longest_item_word FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r) LEFT JOIN best USING (r)"""
 
 _TIMES = "(length(t) - length(replace(t, '{0}', ''))) // length('{0}')"
 OP9 = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') t FROM conversations UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
