@@ -7,11 +7,11 @@ words, of which the fit keeps those that are more frequent in toxic texts.
 
 The labels only say whether a text is toxic.  Grades above 0 are made from them: words that occur at least
 ``MARKER_RATIO`` times as often in toxic texts as in the others are markers, and toxic texts are split into
-``GRADES - 1`` equal parts by the share of markers among their words.  The model is fitted on a bounded sample of
+``GRADES - 1`` equal parts by the number of their words that are markers.  The model is fitted on a bounded sample of
 labelled rows; what it learns is applied to every text, whole.
 
 Defined cases: a null or empty text has no features, grade 0 and is not toxic; null and repeated ids are kept, each
-row scored for itself; without labels of both values every text has severity 0; ties in the share of markers go to
+row scored for itself; without labels of both values every text has severity 0; ties in the number of markers go to
 the same grade; an empty table gives no rows; other columns are ignored.
 """
 
@@ -72,7 +72,7 @@ class OrdinalModel:
 
 
 def grades(rows: list[tuple[bytes, int]]) -> np.ndarray:
-    """Ordered grades of labelled texts: 0 for clean ones, 1 and up by the share of marker words."""
+    """Ordered grades of labelled texts: 0 for clean ones, 1 and up by the number of marker words."""
     toxic, clean = Counter(), Counter()
     n = [0, 0]
     split = [words(t) for t, _ in rows]
@@ -80,10 +80,10 @@ def grades(rows: list[tuple[bytes, int]]) -> np.ndarray:
         (toxic if y else clean).update(set(w))
         n[1 if y else 0] += 1
     markers = {w for w, k in toxic.items() if k >= MARKER_DOCS and k / max(1, n[1]) >= MARKER_RATIO * (clean[w] + 0.5) / max(1, n[0])}
-    share = np.array([sum(x in markers for x in w) / max(1, len(w)) for w in split])
+    found = np.array([sum(x in markers for x in w) for w in split])
     y = np.array([1 if t else 0 for _, t in rows])
-    cuts = np.quantile(share[y == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)]) if y.any() else np.zeros(0)
-    return np.where(y == 1, 1 + np.searchsorted(cuts, share, "left"), 0)
+    cuts = np.quantile(found[y == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)]) if y.any() else np.zeros(0)
+    return np.where(y == 1, 1 + np.searchsorted(cuts, found, "left"), 0)
 
 
 def select(data: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
