@@ -28,9 +28,10 @@ def titles_match(left: Column, right: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((norm_title(left) == norm_title(right)) | (share >= OVERLAP))
 
 
-def kind_of(node_type: Column) -> Column:
-    """The part before the slash; without one, knowledge."""
-    return F.when(F.contains(node_type, F.lit("/")), F.split_part(node_type, F.lit("/"), F.lit(1))).otherwise(F.lit("knowledge"))
+def kind_of(node_type: Column, kinds: tuple[str, ...] = ("knowledge", "entity")) -> Column:
+    """The part before the slash if the vocabulary has it, else knowledge."""
+    head = F.split_part(node_type, F.lit("/"), F.lit(1))
+    return F.when(head.isin(*kinds), head).otherwise(F.lit("knowledge"))
 
 
 def strip(text: Column) -> Column:

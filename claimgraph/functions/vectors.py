@@ -7,6 +7,7 @@ without a vector takes no part in a search.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +45,44 @@ def nearest(rows: DataFrame, vector: list[float], k: int, *, id_col: str, embedd
     return top if least is None else top.filter(~F.isnan("score") & (F.col("score") >= least))
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, *, on: list[str], query_id: str, row_id: str, embedding: str = "embedding") -> DataFrame:
+#: Rows of a side of a tile.
+TILE = 4096
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, *, on: list[str], query_id: str, row_id: str, embedding: str = "embedding", tile: int = TILE) -> DataFrame:
     """Exact k nearest rows of each query among those with equal ``on`` columns: (query_id, row_id, score, rank).
 
-    The rank cut is pushed below the shuffle as a partial top-k, so each task sends on at most k rows a query.  A key
-    with many rows is split at run time by the skew join; the queries are the smaller side.
+    Both sides of a key are dealt into tiles of about ``tile`` rows; a task multiplies one tile of queries with one of
+    rows and passes on the k best of each query, so a key of any size is shared out and nothing is scored row by row.
     """
-    q = queries.filter(F.col(embedding).isNotNull()).select(*on, F.col(query_id), F.transform(embedding, lambda x: x.cast("double") / norm(F.col(embedding))).alias("__q"))
-    r = rows.filter(F.col(embedding).isNotNull()).select(*on, F.col(row_id), F.transform(embedding, lambda x: x.cast("double") / norm(F.col(embedding))).alias("__r"))
-    scored = r.join(q, on).select(query_id, row_id, dot(F.col("__r"), F.col("__q")).alias("score"))
+    q, r = (t.filter(F.col(embedding).isNotNull()).select(*on, F.col(i).alias(i), F.col(embedding).alias("v")) for t, i in ((queries, query_id), (rows, row_id)))
+    tiles = lambda t, name: t.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+    sizes = tiles(q, "nq").join(tiles(r, "nr"), on)  # one row a key
+    spread = lambda t, i, own, n, other, m: t.join(sizes, on).select(*on, i, "v", F.pmod(F.xxhash64(i), n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
+    key = [*on, "tq", "tr"]
+    left, right = spread(q, query_id, "tq", F.col("nq"), "tr", "nr"), spread(r, row_id, "tr", F.col("nr"), "tq", "nq")
+
+    def unit(v: pd.Series) -> np.ndarray:
+        a = np.array(v.tolist(), float)
+        return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {query_id: [], row_id: [], "score": []}
+        if len(a) and len(b):
+            b = b.sort_values(row_id)
+            names = b[row_id].to_numpy()
+            scores = np.round(unit(a["v"]) @ unit(b["v"]).T, 12)  # equal vectors score the same wherever they stand
+            least = np.partition(scores, -min(k, len(b)), axis=1)[:, -min(k, len(b))]
+            for one, row, cut in zip(a[query_id], scores, least, strict=True):
+                near = np.flatnonzero(row >= cut)
+                near = near[np.argsort(-row[near], kind="stable")][:k]
+                out[query_id] += [one] * len(near)
+                out[row_id] += names[near].tolist()
+                out["score"] += row[near].tolist()
+        return pd.DataFrame(out)
+
+    kind = lambda t, i: t.schema[i].dataType.simpleString()
+    schema = f"`{query_id}` {kind(q, query_id)}, `{row_id}` {kind(r, row_id)}, score double"
+    scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, schema)
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc_nulls_last(), row_id)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

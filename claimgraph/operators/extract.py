@@ -7,19 +7,21 @@ twice nor change answers.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import kind_of
 from ..sources.schema import EmbeddingUnavailable, Ontology
 
 Embedder = Callable[[list[str]], list[list[float]]]
-Extractor = Callable[[str], dict]
+#: (text) or (text, parts of the prompt) -> {"nodes": [...], "edges": [...], "usage": {...}}
+Extractor = Callable[..., dict]
 EMBED_BATCH = 100
 
 NODE = "temp_id string, type string, kind string, title string, summary string, confidence double, surface_phrase string"
@@ -84,38 +86,68 @@ def line_extractor(text: str) -> dict:
     return {"nodes": nodes, "edges": edges}
 
 
-def extract(batches: DataFrame, extractor: Extractor, id_col: str = "source_id") -> DataFrame:
-    """(id, index, nodes, edges): temp ids carry the batch's index, edges to nodes that were not extracted go."""
+def tolerant(value) -> list[dict]:
+    """A list of objects, also where it came as JSON text; what is neither is left out."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError:
+            return []
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def _number(value, otherwise):
+    try:
+        return type(otherwise)(value)
+    except (TypeError, ValueError):
+        return otherwise
+
+
+def extract(batches: DataFrame, extractor: Extractor, id_col: str = "source_id", *, prompt: tuple[str, ...] = (), tell: bool = False) -> DataFrame:
+    """(id, index, nodes, edges, usage, error): temp ids carry the batch's index, edges to nodes that were not extracted go.
+
+    The extractor gets a text and, if it takes a second argument, the prompt's parts.  Its failure fails the task, or
+    with ``tell`` is that batch's error, so that what the others have cost is still known.
+    """
     kind = batches.schema[id_col].dataType.simpleString()
+    asked = (lambda text: extractor(text, list(prompt))) if len(inspect.signature(extractor).parameters) > 1 else extractor
+
+    def read(k: int, got: dict) -> tuple[list[dict], list[dict], dict]:
+        nodes = [{"temp_id": f"{k}:{n.get('temp_id') or i}", "type": n.get("type") or "", "kind": n.get("kind"), "title": n.get("title"), "summary": n.get("summary"), "confidence": _number(n.get("confidence"), 0.7), "surface_phrase": n.get("surface_phrase")} for i, n in enumerate(tolerant(got.get("nodes")))]
+        names = {n["temp_id"] for n in nodes}
+        edges = [{"source_temp_id": f"{k}:{e.get('source_temp_id')}", "target_temp_id": f"{k}:{e.get('target_temp_id')}", "type": e.get("type"), "confidence": _number(e.get("confidence"), 0.7)} for e in tolerant(got.get("edges"))]
+        usage = got.get("usage") or {}
+        spent = {"model": str(usage.get("model") or ""), "input_tokens": _number(usage.get("input_tokens"), 0), "output_tokens": _number(usage.get("output_tokens"), 0)}
+        return nodes, [e for e in edges if e["type"] and e["source_temp_id"] in names and e["target_temp_id"] in names], spent
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for i, k, text in zip(pdf[id_col], pdf["index"], pdf["text"], strict=True):
-                got = extractor(text or "")
-                nodes = [{"temp_id": f"{k}:{n['temp_id']}", "type": n.get("type") or "", "kind": n.get("kind"), "title": n.get("title"), "summary": n.get("summary"), "confidence": float(n.get("confidence", 0.7)), "surface_phrase": n.get("surface_phrase")} for n in got.get("nodes") or []]
-                names = {n["temp_id"] for n in nodes}
-                edges = [{"source_temp_id": f"{k}:{e['source_temp_id']}", "target_temp_id": f"{k}:{e['target_temp_id']}", "type": e["type"], "confidence": float(e.get("confidence", 0.7))} for e in got.get("edges") or []]
-                out.append((i, k, nodes, [e for e in edges if e["source_temp_id"] in names and e["target_temp_id"] in names]))
-            yield pd.DataFrame(out, columns=[id_col, "index", "nodes", "edges"])
+                try:
+                    out.append((i, k, *read(k, asked(text or "") or {}), None))
+                except Exception as e:
+                    if not tell:
+                        raise
+                    out.append((i, k, [], [], {"model": "", "input_tokens": 0, "output_tokens": 0}, str(e)[:2000] or type(e).__name__))
+            yield pd.DataFrame(out, columns=[id_col, "index", "nodes", "edges", "usage", "error"])
 
     edge = "source_temp_id:string,target_temp_id:string,type:string,confidence:double"
     node = NODE.replace(" ", ":", 1).replace(", ", ",").replace(" ", ":")
-    return batches.mapInPandas(run, f"{id_col} {kind}, index int, nodes array<struct<{node}>>, edges array<struct<{edge}>>")
+    return batches.mapInPandas(run, f"{id_col} {kind}, index int, nodes array<struct<{node}>>, edges array<struct<{edge}>>, usage struct<model:string,input_tokens:long,output_tokens:long>, error string")
 
 
 def typed(nodes: DataFrame, ontology: Ontology) -> DataFrame:
-    """Extracted nodes with their kind; types outside the vocabulary are dropped if it is strict, else marked."""
+    """Extracted nodes with their kind, the one given or else that of the type; types outside the vocabulary are dropped
+    if it is strict, else marked."""
     vocabulary = F.broadcast(ontology.frame(nodes.sparkSession).select("type", F.lit(True).alias("known")))
-    out = nodes.withColumn("kind", kind_of(F.col("type"))).join(vocabulary, "type", "inner" if ontology.strict else "left")
+    kind = kind_of(F.col("type"), tuple(ontology.node_types))
+    if "kind" in nodes.columns:
+        kind = F.coalesce(F.nullif(F.col("kind"), F.lit("")), kind)
+    out = nodes.withColumn("kind", kind).join(vocabulary, "type", "inner" if ontology.strict else "left")
     return out.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def wire_list(text: Column) -> Column:
-    """A list that came as JSON text; what does not parse is empty."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-
-
 def proper_edges(edges: DataFrame, nodes: DataFrame, batch: str, node_id: str = "temp_id") -> DataFrame:
     """Edges whose two ends were extracted in their batch and differ."""
     ids = nodes.select(batch, F.col(node_id).alias("id")).distinct()
@@ -136,6 +168,3 @@ def roster_block(lines: list[str]) -> str:
         return ""
     return "ENTITIES AND CLAIMS ALREADY IN THIS GRAPH:\n" + "\n".join(f"- {x}" for x in lines) + "\n\nReuse a listed title exactly where the text means it, with the text's wording as surface_phrase; if unsure, make a new node."
 
-
-def to_json(value) -> str:
-    return json.dumps(value, ensure_ascii=False)

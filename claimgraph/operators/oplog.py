@@ -51,7 +51,10 @@ def merge_fold(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     Aliases are a set without the own title; a summary is added unless it is null, the node's own or there already;
     citations and merges only grow.
     """
-    own = merges.groupBy("tenant_id", "node_id").agg(in_order(F.col("alias")).alias("new_aliases"), in_order(F.col("summary")).alias("new_summaries"), F.count(F.lit(1)).alias("n"))
+    key = ["tenant_id", "node_id"]
+    once = merges.groupBy(*key, "summary").agg(F.min("seq").alias("seq"))  # a node gathers its different wordings, not its merges
+    worded = once.groupBy(*key).agg(in_order(F.col("summary")).alias("new_summaries"))
+    own = merges.groupBy(*key).agg(F.collect_set("alias").alias("new_aliases"), F.count(F.lit(1)).alias("n")).join(worded, key)
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     if "summaries" not in nodes.columns:
         nodes = nodes.withColumn("summaries", F.lit(None).cast("array<string>"))

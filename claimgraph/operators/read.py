@@ -23,11 +23,18 @@ OMITTED = "[... {n} more item(s) omitted for length]"
 def search_segments(segments: DataFrame, sources: DataFrame, vector: list[float], k: int = 10, least: float | None = None) -> DataFrame:
     """The k closest source spans with the origin of their source; both sides are scoped before they meet."""
     top = nearest(segments, vector, k, id_col="segment_id", least=least)
-    return top.join(sources.select("source_id", "origin"), "source_id").select("segment_id", "source_id", "text", "score", "origin")
+    return top.join(sources.select("source_id", "origin"), "source_id").select("segment_id", "source_id", "text", "locator", "score", "origin")
 
 
 def seeds(nodes: DataFrame, vector: list[float], k: int = 8, least: float | None = None) -> DataFrame:
-    return nearest(live_nodes(nodes), vector, k, id_col="node_id", least=least)
+    top = nearest(live_nodes(nodes), vector, k, id_col="node_id", least=least)
+    return top.withColumn("summary", shown_summary(F.col("summary"), F.col("summaries")))
+
+
+def details(nodes: DataFrame) -> DataFrame:
+    """Live nodes as reads show them: the summary with the wording that merges have added."""
+    shown = shown_summary(F.col("summary"), F.col("summaries")).alias("summary")
+    return live_nodes(nodes).select(F.col("node_id").alias("id"), "kind", "type", "title", shown, "status", "confidence")
 
 
 def edges_touching(edges: DataFrame, frontier: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -41,8 +48,8 @@ def edges_touching(edges: DataFrame, frontier: DataFrame, types: list[str] | Non
 def grow(start: DataFrame, edges: DataFrame, hops: int, max_nodes: int = 30, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion of ``start`` (id, reach): collected (id, reach, hop) and the edges met.
 
-    Nodes are reached in the order hop, edge id, source before target, until ``max_nodes`` are collected, so what is
-    ranked in one task is at most one hop's edges at a frontier of that many nodes.  Dead nodes count and lead on.
+    Nodes are reached in the order hop, edge id, source before target, until ``max_nodes`` are collected; no more than
+    that are ranked in one task.  Dead nodes count and lead on.
     """
     collected = start.select("id", "reach", F.lit(0).alias("hop"))
     frontier, met = collected, None
@@ -52,6 +59,7 @@ def grow(start: DataFrame, edges: DataFrame, hops: int, max_nodes: int = 30, typ
         met = touching if met is None else met.unionByName(touching)
         ends = touching.select("edge_id", F.posexplode(F.array("source_id", "target_id")).alias("side", "id")).join(collected.select("id"), "id", "left_anti")
         first = ends.groupBy("id").agg(F.min(F.struct("edge_id", "side")).alias("at"))
+        first = first.orderBy("at", "id").limit(max_nodes)  # no more can be taken, so no more are ranked in one task
         ranked = first.withColumn("k", F.row_number().over(Window.orderBy("at", "id"))).crossJoin(F.broadcast(size))
         new = ranked.filter(F.col("k") + F.col("n") <= max_nodes).select("id", (F.col("k") + F.col("n")).cast("int").alias("reach"), F.lit(hop).alias("hop"))
         collected, frontier = collected.unionByName(new), new
@@ -63,8 +71,7 @@ def subgraph(start: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 1
     """(nodes, edges) around ``start`` (id, reach, score): live nodes by score, and the edges between them."""
     collected, met = grow(start, edges, hops, max_nodes, types)
     scored = collected.join(start.select("id", "score"), "id", "left")
-    detail = live_nodes(nodes).select(F.col("node_id").alias("id"), "kind", "type", "title", "summary", "status", "confidence")
-    found = scored.join(detail, "id").select("id", "kind", "type", "title", "summary", "status", "confidence", "score", "reach")
+    found = scored.join(details(nodes), "id").select("id", "kind", "type", "title", "summary", "status", "confidence", "score", "reach")
     ids = found.select("id")
     closed = met.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return found.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "reach"), closed.select("source_id", "target_id", "type")
@@ -86,7 +93,7 @@ def evidence(nodes: DataFrame, sources: DataFrame, node_id) -> DataFrame:
     """The sources that a node cites, once each."""
     cited = nodes.filter(F.col("node_id") == F.lit(node_id)).select(F.explode("citations").alias("source_id")).distinct()
     excerpt = F.substring(F.coalesce("raw_content", F.lit("")), 1, EXCERPT)
-    return sources.join(cited, "source_id", "left_semi").select("source_id", "origin", excerpt.alias("excerpt"), "created_at")
+    return sources.join(cited, "source_id", "left_semi").select("source_id", "origin", excerpt.alias("excerpt"), "metadata", "created_at")
 
 
 def conflicts(nodes: DataFrame, kind: str = "knowledge/open_question") -> DataFrame:

@@ -26,8 +26,9 @@ def surfaces(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
 def title_exact(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cand_id, node_id): the earliest node of the type with the candidate's key among its titles and aliases."""
     keyed = candidates.select(*SCOPE, "type", "cand_id", norm_title(F.col("title")).alias("norm")).filter("norm <> ''")
-    met = keyed.join(surfaces(nodes, "node_id", "created_at"), [*SCOPE, "type", "norm"])
-    return met.groupBy("cand_id").agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
+    key = [*SCOPE, "type", "norm"]
+    earliest = surfaces(nodes, "node_id", "created_at").groupBy(*key).agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
+    return keyed.join(earliest, key).select("cand_id", "node_id")
 
 
 def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -37,20 +38,22 @@ def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     words are joined on and common words gather no pairs.
     """
     words = lambda c: F.array_distinct(title_tokens(c))
-    a = candidates.select(*SCOPE, "type", F.col("cand_id").alias("id"), F.lit(None).cast(nodes.schema["created_at"].dataType).alias("created_at"), F.col("title").alias("surface"), F.lit(True).alias("mine"))
-    b = surfaces(nodes, "node_id", "created_at").select(*SCOPE, "type", F.col("node_id").alias("id"), "created_at", "surface", F.lit(False).alias("mine"))
-    both = a.unionByName(b).withColumn("words", words(F.col("surface"))).filter(F.size("words") > 0)
+    key = [*SCOPE, "type", "words"]
+    # Word lists that many share count once, with the earliest of their nodes.
+    asked = candidates.select("cand_id", *SCOPE, "type", words(F.col("title")).alias("words")).filter(F.size("words") > 0)
+    a = asked.select(*key).distinct().select(*key, F.lit(True).alias("mine"), F.lit(None).cast(nodes.schema["created_at"].dataType).alias("created_at"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id"))
+    b = surfaces(nodes, "node_id", "created_at").withColumn("words", words(F.col("surface"))).groupBy(*key).agg(F.min(F.struct("created_at", "node_id")).alias("e"))
+    both = a.unionByName(b.select(*key, F.lit(False).alias("mine"), "e.created_at", "e.node_id"))
     tokens = both.select("*", F.explode("words").alias("word"))
     often = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    key = [*SCOPE, "type", "id", "mine", "surface"]
-    ranked = tokens.join(often, "word").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("n", "word")))
+    ranked = tokens.join(often, "word").withColumn("k", F.row_number().over(Window.partitionBy(*key, "mine").orderBy("n", "word")))
     rare = ranked.filter(F.col("k") <= F.size("words") - F.ceil(F.size("words") * OVERLAP - 1e-9) + 1)
-    left = rare.filter("mine").select(*SCOPE, "type", "word", F.col("id").alias("cand_id"), F.col("words").alias("x"))
-    right = rare.filter("not mine").select(*SCOPE, "type", "word", F.col("id").alias("node_id"), "created_at", F.col("words").alias("y"))
+    left = rare.filter("mine").select(*SCOPE, "type", "word", F.col("words").alias("x"))
+    right = rare.filter("not mine").select(*SCOPE, "type", "word", "node_id", "created_at", F.col("words").alias("y"))
     share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
-    same = F.array_join("x", " ") == F.array_join("y", " ")
-    met = left.join(right, [*SCOPE, "type", "word"]).filter((share >= OVERLAP) & ~same)
-    return met.groupBy("cand_id").agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
+    met = left.join(right, [*SCOPE, "type", "word"]).filter((share >= OVERLAP) & (F.col("x") != F.col("y")))
+    best = met.groupBy(*SCOPE, "type", F.col("x").alias("words")).agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
+    return asked.join(best, key).select("cand_id", "node_id")
 
 
 def nearest_nodes(candidates: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -127,7 +130,8 @@ def memo(rows: DataFrame) -> DataFrame:
     """
     if "canonical_title" in rows.columns:
         return _memo_in_order(rows)
-    key = Window.partitionBy("run", "type", "norm").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.when(F.col("norm") == "", F.col("cand_id").cast("string"))  # rows without a key fold with none
+    key = Window.partitionBy("run", "type", "norm", alone).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.when(F.col("norm") != "", F.first(F.when(F.col("creates"), F.col("cand_id")), ignorenulls=True).over(key))
     return _folded(rows.withColumn("same_run_id", prior), F.lit("same_run"))
 
@@ -189,9 +193,14 @@ def trigram_best(names: DataFrame, targets: DataFrame, least: float = 0.3) -> Da
         padded = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
-    a = names.select("name", grams(F.col("name")).alias("g"))
-    b = targets.select("title", grams(F.col("title")).alias("h"))
-    met = a.select("name", F.size("g").alias("n"), F.explode("g").alias("t")).join(b.select("title", F.size("h").alias("m"), F.explode("h").alias("t")), "t")
-    scored = met.groupBy("name", "title", "n", "m").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
+    # Sets as alike as that share a member among the rarest few of each, so common trigrams gather no pairs.
+    both = names.select(F.col("name").alias("x"), F.lit(True).alias("mine")).unionByName(targets.select(F.col("title").alias("x"), F.lit(False).alias("mine"))).distinct().withColumn("g", grams(F.col("x")))
+    each = both.select("*", F.explode("g").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(often, "t").withColumn("k", F.row_number().over(Window.partitionBy("x", "mine").orderBy("n", "t")))
+    rare = ranked.filter(F.col("k") <= F.size("g") - F.ceil(F.size("g") * least - 1e-9) + 1)
+    met = rare.filter("mine").select("t", F.col("x").alias("name"), F.col("g").alias("a")).join(rare.filter("not mine").select("t", F.col("x").alias("title"), F.col("g").alias("b")), "t").drop("t").distinct()
+    common = F.size(F.array_intersect("a", "b"))
+    scored = met.withColumn("score", common / (F.size("a") + F.size("b") - common))
     best = F.row_number().over(Window.partitionBy("name").orderBy(F.col("score").desc(), "title"))
     return scored.filter(F.col("score") >= least).withColumn("k", best).filter("k = 1").select("name", "title", "score")

@@ -102,7 +102,7 @@ def edges_by_type(x: Fixtures) -> DataFrame:
 @query
 def node_details(x: Fixtures) -> DataFrame:
     ids = x.table("part").filter("p_size = 7").select(F.col("p_partkey").alias("id"))
-    return scope.only_ids(scope.live_nodes(here(x.nodes(False))), "node_id", ids).select("node_id", "kind", "type", "title", "summary", "status", "confidence")
+    return read.details(scope.only_ids(here(x.nodes(False)), "node_id", ids)).withColumnRenamed("id", "node_id")
 
 
 @query
@@ -124,7 +124,7 @@ def json_project(x: Fixtures) -> DataFrame:
 
 @query
 def evidence(x: Fixtures) -> DataFrame:
-    return read.evidence(here(x.nodes(False)), here(x.sources()), 8)
+    return read.evidence(here(x.nodes(False)), here(x.sources()), 8).withColumn("lang", F.col("metadata")["lang"]).drop("metadata")
 
 
 @query
@@ -162,9 +162,10 @@ def layout_sanitize(x: Fixtures) -> DataFrame:
 @query
 def wire_parse(x: Fixtures) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["a","n'), k, F.lit('"]'))).when(F.col("event_id") % 3 == 1, F.lit("[]")).otherwise(F.lit("not json"))
-    got = extract.wire_list(raw)
-    return x.table("events").select("event_id", F.size(got).alias("n"), F.array_join(got, ",").alias("items"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('[{"title":"a"},{"title":"n'), k, F.lit('"},7]'))).when(F.col("event_id") % 3 == 1, F.lit("[]")).otherwise(F.lit("not json"))
+    answers = x.table("events").select("event_id", F.lit(0).alias("index"), raw.alias("text"))
+    got = extract.extract(answers, lambda text: {"nodes": text, "edges": "[]"}, "event_id")
+    return got.select("event_id", F.size("nodes").alias("n"), F.array_join(F.transform("nodes", lambda n: n["title"]), ",").alias("items"))
 
 
 # Joins, windows, top-k
@@ -172,7 +173,7 @@ def wire_parse(x: Fixtures) -> DataFrame:
 
 @query
 def search_segments(x: Fixtures) -> DataFrame:
-    return read.search_segments(here(x.segments()), here(x.sources()), x.query(), 10).select("segment_id", "source_id", "text", score(), "origin")
+    return read.search_segments(here(x.segments()), here(x.sources()), x.query(), 10).select("segment_id", "source_id", "text", F.concat(F.col("locator.start"), F.lit("-"), F.col("locator.end"), F.lit(" "), F.col("locator.unit")).alias("locator"), score(), "origin")
 
 
 @query
@@ -182,9 +183,8 @@ def sources_unindexed(x: Fixtures) -> DataFrame:
 
 @query
 def edge_dedup_insert(x: Fixtures) -> DataFrame:
-    # The same triples again under later numbers, beside new ones.
-    proposed = x.edges(0).unionByName(x.edges(10)).withColumn("seq", F.col("edge_id"))
-    return oplog.new_edges(proposed, scope.live_edges(x.edges(0))).select("edge_id", "tenant_id", "graph_id", "source_id", "target_id", "type")
+    # The rows of even orders are there already; all rows are proposed.
+    return oplog.new_edges(x.edges().withColumn("seq", F.col("edge_id")), scope.live_edges(x.edges().filter("seq % 2 = 0"))).select("edge_id", "tenant_id", "graph_id", "source_id", "target_id", "type")
 
 
 def _start(x: Fixtures) -> DataFrame:
@@ -302,7 +302,7 @@ def _recall(x: Fixtures) -> tuple[DataFrame, DataFrame]:
 
 @query
 def recall_nodes(x: Fixtures) -> DataFrame:
-    return _recall(x)[0].select("id", "kind", "type", "title", "status", "confidence", score(), "reach")
+    return _recall(x)[0].select("id", "kind", "type", "title", "summary", "status", "confidence", score(), "reach")
 
 
 @query
@@ -423,7 +423,8 @@ def embed_text(x: Fixtures) -> DataFrame:
 
 @query
 def kind_of(x: Fixtures) -> DataFrame:
-    label = F.when(F.col("node_id") % 4 == 0, F.lit("loose")).otherwise(F.col("type"))
+    i = F.col("node_id") % 6
+    label = F.when(i == 0, "loose").when(i == 2, "entity").when(i == 4, "foo/bar").otherwise(F.col("type"))
     return x.nodes(False).select("node_id", T.kind_of(label).alias("kind"))
 
 
@@ -457,7 +458,7 @@ def extract_batches(x: Fixtures) -> DataFrame:
 @query
 def extract_nodes(x: Fixtures) -> DataFrame:
     got = extract.extract(chunk.batches(x.sources()), extract.line_extractor)
-    return extract.typed(got.select("source_id", F.inline("nodes")).drop("kind"), Ontology()).select("source_id", "temp_id", "type", "kind", "title")
+    return extract.typed(got.select("source_id", F.inline("nodes")), Ontology()).select("source_id", "temp_id", "type", "kind", "title")
 
 
 @query

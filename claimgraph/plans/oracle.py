@@ -35,26 +35,25 @@ N = "(SELECT count(*) FROM documents)"
 RISK = "CASE WHEN op IN ('SET_LAYOUT','ADD_NODE','ADD_EDGE','ADD_CITATION','MERGE_NODE','CONTRADICT') OR (op IN ('UPDATE_NODE','DISCONNECT','REMOVE_NODE','SUPERSEDE') AND actor_kind = 'human') THEN 'additive' ELSE 'high' END"
 
 
-def edge_view(name: str, modulus: int) -> str:
-    return f"""{name} AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) edge_id, s source_id, ((l_suppkey*37 + l_linenumber) % ({N}//2))*2 + s % 2 target_id,
+def edge_view(name: str) -> str:
+    return f"""{name} AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT) edge_id, s source_id, ((l_suppkey*37 + l_linenumber) % ({N}//2))*2 + s % 2 target_id,
  {tenant('s')} tenant_id, {graph('s')} graph_id, CASE l_returnflag WHEN 'A' THEN 'affects' WHEN 'N' THEN 'contains' ELSE 'depends_on' END "type",
  epoch(l_shipdate)::BIGINT valid_at, CASE WHEN l_linestatus = 'F' THEN epoch(l_shipdate)::BIGINT + 90*86400 END invalid_at, l_orderkey seq
- FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate, l_partkey % {N} s FROM lineitem WHERE l_orderkey % 20 = {modulus}))"""
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate, l_partkey % {N} s FROM lineitem))"""
 
 
 VIEWS = {
     "f_sources": f"f_sources AS (SELECT d.doc_id source_id, {tenant('d.doc_id')} tenant_id, {graph('d.doc_id')} graph_id, d.source origin, d.text raw_content, d.lang, CASE quality WHEN 1 THEN 'done' WHEN 0 THEN 'failed' ELSE 'pending' END extraction_status, 1704067200 + d.doc_id*60 created_at FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
     "f_nodes": f"""f_nodes AS (SELECT d.doc_id node_id, {tenant('d.doc_id')} tenant_id, {graph('d.doc_id')} graph_id, CASE d.doc_id % 3 WHEN 0 THEN 'entity/feature' WHEN 1 THEN 'entity/screen' ELSE 'knowledge/decision' END "type",
- CASE d.doc_id % 3 WHEN 2 THEN 'knowledge' ELSE 'entity' END kind, array_to_string(string_split(text, ' ')[1:8], ' ') title, lang || '/' || source summary,
+ CASE d.doc_id % 3 WHEN 2 THEN 'knowledge' ELSE 'entity' END kind, array_to_string(string_split(text, ' ')[1:8], ' ') title, lang || '/' || source summary, CASE WHEN d.doc_id % 11 = 0 THEN ['folded ' || lang] ELSE []::VARCHAR[] END summaries,
  CASE WHEN d.doc_id % 7 = 0 THEN [array_to_string(string_split(text, ' ')[1:2], ' ')] ELSE []::VARCHAR[] END aliases,
  CASE WHEN d.doc_id % 17 = 0 THEN 'rejected' WHEN d.doc_id % 13 = 0 THEN 'superseded' ELSE 'active' END status, CASE WHEN d.doc_id % 17 = 0 THEN 1704067200 END deleted_at,
  (d.doc_id % 10) / 10.0::DOUBLE confidence, [d.doc_id, (d.doc_id + 2) % {N}, d.doc_id] citations, 1704067200 + d.doc_id*60 created_at, 1704067200 + d.doc_id*60 + ((d.doc_id*7919) % 1000)*60 updated_at, e.embedding
  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)""",
     "f_cand": "f_cand AS (SELECT *, node_id cand_id, node_id // 100 run, node_id pos FROM f_nodes WHERE node_id % 5 = 0)",
     "f_graph": "f_graph AS (SELECT * FROM f_nodes WHERE node_id % 5 <> 0 AND status = 'active')",
-    "f_edges": edge_view("f_edges", 0),
-    "f_more": edge_view("f_more", 10),
-    "f_segments": f"f_segments AS (SELECT doc_id segment_id, doc_id source_id, {tenant('doc_id')} tenant_id, {graph('doc_id')} graph_id, substring(text, 1, 1200) AS text, embedding FROM documents JOIN embeddings ON vec_id = doc_id)",
+    "f_edges": edge_view("f_edges"),
+    "f_segments": f"f_segments AS (SELECT doc_id segment_id, doc_id source_id, {tenant('doc_id')} tenant_id, {graph('doc_id')} graph_id, text, '0-' || length(text) || ' char' locator, embedding FROM documents JOIN embeddings ON vec_id = doc_id)",
     "f_query": "f_query AS (SELECT embedding q FROM embeddings WHERE vec_id = 8)",
     "f_ops": f"""f_ops AS (SELECT event_id seq, floor(epoch(ts))::BIGINT commit_ts, {tenant('user_id')} tenant_id, user_id node_id, CASE event_type WHEN 'view' THEN 'MERGE_NODE' WHEN 'click' THEN 'ADD_EDGE' WHEN 'signup' THEN 'UPDATE_NODE' WHEN 'purchase' THEN 'SUPERSEDE' ELSE 'REMOVE_NODE' END op,
  CASE WHEN user_id % 5 = 0 THEN 'human' ELSE 'agent' END actor_kind, 'alias ' || (k % 10) alias, 'summary ' || (k % 5) summary, (user_id + k) % 150 other_id, strftime(ts, '%Y-%m-%d') AS day
@@ -140,13 +139,16 @@ ONE = "start AS (SELECT 8::BIGINT id, 1::INTEGER reach, 0 hop, 1.0::DOUBLE score
 RECALL = [SEEDS, LINKS, "start AS (SELECT node_id id, (row_number() OVER (ORDER BY score DESC, node_id))::INTEGER reach, 0 hop, score FROM seeds)", *hop(1, "start", "start", 30)]
 
 
+SHOWN = "array_to_string(list_concat([{0}summary], {0}summaries), ' · ')"
+
+
 def found(last: str) -> str:
-    return f"found AS (SELECT a.id, n.kind, n.\"type\", n.title, n.summary, n.status, n.confidence, s.score, a.reach FROM {last} a JOIN f_nodes n ON n.node_id = a.id AND n.tenant_id = 'acme' AND n.graph_id = 'main' AND n.status = 'active' AND n.deleted_at IS NULL LEFT JOIN start s ON s.id = a.id)"
+    return f"found AS (SELECT a.id, n.kind, n.\"type\", n.title, {SHOWN.format("n.")} summary, n.status, n.confidence, s.score, a.reach FROM {last} a JOIN f_nodes n ON n.node_id = a.id AND n.tenant_id = 'acme' AND n.graph_id = 'main' AND n.status = 'active' AND n.deleted_at IS NULL LEFT JOIN start s ON s.id = a.id)"
 
 
 ROSTER = f"""roster AS (SELECT row_number() OVER (ORDER BY (kind = 'entity') DESC, updated_at DESC, node_id)::INTEGER AS rank, node_id, "type", title, list_filter(aliases, lambda a: a IS NOT NULL)[1:3] few FROM f_nodes WHERE {HERE} AND {LIVE})"""
 MERGED = """m AS (SELECT tenant_id, node_id, list(alias ORDER BY seq) na, list(summary ORDER BY seq) ns, count(*) n FROM f_ops WHERE op = 'MERGE_NODE' GROUP BY tenant_id, node_id),
- j AS (SELECT f_nodes.*, coalesce(na, []::VARCHAR[]) na, coalesce(ns, []::VARCHAR[]) ns, coalesce(n, 0) n FROM f_nodes LEFT JOIN m ON m.tenant_id = f_nodes.tenant_id AND m.node_id = f_nodes.node_id)"""
+ j AS (SELECT f_nodes.*, coalesce(na, []::VARCHAR[]) na, list_concat(summaries, coalesce(ns, []::VARCHAR[])) ns, coalesce(n, 0) n FROM f_nodes LEFT JOIN m ON m.tenant_id = f_nodes.tenant_id AND m.node_id = f_nodes.node_id)"""
 STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
@@ -178,17 +180,17 @@ def all_queries() -> dict[str, str]:
         "live_nodes": sql(f'SELECT node_id, kind, "type", confidence FROM f_nodes WHERE {HERE} AND {LIVE}'),
         "live_edges": sql(f'SELECT edge_id, source_id, target_id, "type", valid_at FROM f_edges WHERE {HERE} AND invalid_at IS NULL'),
         "edges_by_type": sql(f"SELECT edge_id, \"type\" FROM f_edges WHERE {HERE} AND invalid_at IS NULL AND \"type\" IN ('affects', 'contains')"),
-        "node_details": sql(f'SELECT node_id, kind, "type", title, summary, status, confidence FROM f_nodes WHERE {HERE} AND {LIVE} AND node_id IN (SELECT p_partkey FROM part WHERE p_size = 7)'),
+        "node_details": sql(f'SELECT node_id, kind, "type", title, {SHOWN.format("")} summary, status, confidence FROM f_nodes WHERE {HERE} AND {LIVE} AND node_id IN (SELECT p_partkey FROM part WHERE p_size = 7)'),
         "pending_changesets": sql("SELECT changeset_id, status, array_to_string(list_transform(list_filter(ops, lambda o: o.risk = 'high'), lambda o: o.seq || ':' || o.op), ',') ops, created_at FROM f_changesets WHERE status IN ('pending_review', 'partial')"),
         "json_project": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT k FROM events",
-        "evidence": sql(f"SELECT source_id, origin, left(coalesce(raw_content, ''), 2000) excerpt, created_at FROM f_sources WHERE {HERE} AND source_id IN (SELECT unnest(citations) FROM f_nodes WHERE node_id = 8)"),
+        "evidence": sql(f"SELECT source_id, origin, left(coalesce(raw_content, ''), 2000) excerpt, lang, created_at FROM f_sources WHERE {HERE} AND source_id IN (SELECT unnest(citations) FROM f_nodes WHERE node_id = 8)"),
         "conflicts": sql("SELECT node_id open_question_id, title, node_id || ',' || (node_id + 2) conflict_node_ids, coalesce(CASE node_id % 3 WHEN 1 THEN true WHEN 2 THEN false END, false) resolved, created_at FROM f_nodes WHERE node_id % 50 = 1 AND tenant_id = 'globex' AND graph_id = 'main' AND status = 'active' AND deleted_at IS NULL"),
         "strict_types": sql("SELECT node_id, \"type\", kind, true known, true strict FROM f_nodes WHERE \"type\" IN ('entity/feature', 'knowledge/decision') UNION ALL SELECT node_id, \"type\", kind, \"type\" IN ('entity/feature', 'knowledge/decision'), false FROM f_nodes"),
         "valid_edges": sql("SELECT edge_id, source_id, target_id FROM f_edges e WHERE source_id <> target_id AND EXISTS (SELECT 1 FROM f_nodes n WHERE n.node_id = e.source_id AND n.tenant_id = e.tenant_id AND n.node_id % 3 <> 0) AND EXISTS (SELECT 1 FROM f_nodes n WHERE n.node_id = e.target_id AND n.tenant_id = e.tenant_id AND n.node_id % 3 <> 0)"),
         "layout_sanitize": sql("SELECT tenant_id, node_id, 'layout=' || arg_max(summary, seq) || ';node_id=' || node_id || ';view=' || arg_max(alias, seq) payload FROM f_ops GROUP BY tenant_id, node_id"),
         "wire_parse": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END::INTEGER n, CASE event_id % 3 WHEN 0 THEN 'a,n' || json_extract_string(props, '$.k') ELSE '' END items FROM events",
         "sources_unindexed": sql(f"SELECT source_id, origin FROM f_sources WHERE {HERE} AND coalesce(raw_content, '') <> '' AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = source_id)"),
-        "edge_dedup_insert": sql('SELECT edge_id, tenant_id, graph_id, source_id, target_id, "type" FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, graph_id, source_id, target_id, "type" ORDER BY edge_id) k FROM (SELECT * FROM f_edges UNION ALL SELECT * FROM f_more) WHERE source_id <> target_id) p WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM f_edges e WHERE e.invalid_at IS NULL AND e.tenant_id = p.tenant_id AND e.graph_id = p.graph_id AND e.source_id = p.source_id AND e.target_id = p.target_id AND e."type" = p."type")'),
+        "edge_dedup_insert": sql('SELECT edge_id, tenant_id, graph_id, source_id, target_id, "type" FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, graph_id, source_id, target_id, "type" ORDER BY edge_id) k FROM f_edges WHERE source_id <> target_id) p WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM f_edges e WHERE e.seq % 2 = 0 AND e.invalid_at IS NULL AND e.tenant_id = p.tenant_id AND e.graph_id = p.graph_id AND e.source_id = p.source_id AND e.target_id = p.target_id AND e."type" = p."type")'),
         "edges_touching": sql('SELECT edge_id, source_id, target_id, "type" FROM links WHERE source_id IN (SELECT p_partkey FROM part WHERE p_size = 3) OR target_id IN (SELECT p_partkey FROM part WHERE p_size = 3)', LINKS),
         "knn_candidates": sql("SELECT cand_id, node_id, round(score, 6) score, rank::INTEGER AS rank FROM near", knn()),
         "best_candidates": sql("SELECT cand_id, same_id, round(same_score, 6) same_score, any_id, round(any_score, 6) any_score FROM best", knn(), BEST),
@@ -203,8 +205,8 @@ def all_queries() -> dict[str, str]:
         "neighbors_1hop": sql('SELECT id, "type", status, score, reach FROM found', ONE, LINKS, *hop(1, "start", "start", 30), found("all1")),
         "neighbors_2hop": sql('SELECT id, "type", status, score, reach FROM found', ONE, LINKS, *hop(1, "start", "start", 1000), *hop(2, "all1", "new1", 1000), found("all2")),
         "neighbors_capped": sql("SELECT id, reach, hop FROM all2", ONE, LINKS, *hop(1, "start", "start", 5), *hop(2, "all1", "new1", 5)),
-        "recall_seeds": sql('SELECT node_id, kind, "type", title, summary, round(score, 6) score FROM seeds', SEEDS),
-        "recall_nodes": sql('SELECT id, kind, "type", title, status, confidence, round(score, 6) score, reach FROM found', *RECALL, found("all1")),
+        "recall_seeds": sql(f'SELECT node_id, kind, "type", title, {SHOWN.format("")} summary, round(score, 6) score FROM seeds', SEEDS),
+        "recall_nodes": sql('SELECT id, kind, "type", title, summary, status, confidence, round(score, 6) score, reach FROM found', *RECALL, found("all1")),
         "recall_edges": sql('SELECT DISTINCT source_id, target_id, "type" FROM met1 WHERE source_id IN (SELECT id FROM found) AND target_id IN (SELECT id FROM found)', *RECALL, found("all1")),
         "render_edges": sql("SELECT e.source_id, e.target_id, e.\"type\", coalesce(s.title, '?') || ' -[' || e.\"type\" || ']-> ' || coalesce(t.title, '?') line FROM (SELECT DISTINCT source_id, target_id, \"type\" FROM links) e LEFT JOIN found s ON s.id = e.source_id LEFT JOIN found t ON t.id = e.target_id", *RECALL, found("all1")),
         "roster": sql("SELECT rank, node_id, \"type\", title, array_to_string(few, ', ') aliases FROM roster WHERE rank <= 200", ROSTER),
@@ -222,7 +224,7 @@ def all_queries() -> dict[str, str]:
         "cosine_pairs": f"SELECT a.vec_id, round({cosine('a.embedding', 'b.embedding')}, 6) score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "l2_normalize": "SELECT vec_id, 1.0::DOUBLE norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
         "embed_text": sql("SELECT node_id, " + STRIP("'  ' || title || chr(10) || CASE WHEN node_id % 2 = 0 THEN summary ELSE '' END") + " AS text FROM f_nodes"),
-        "kind_of": sql("SELECT node_id, CASE WHEN node_id % 4 = 0 THEN 'knowledge' ELSE kind END kind FROM f_nodes"),
+        "kind_of": sql("SELECT node_id, CASE node_id % 6 WHEN 0 THEN 'knowledge' WHEN 2 THEN 'entity' WHEN 4 THEN 'knowledge' ELSE kind END kind FROM f_nodes"),
         "gate_classify": sql(f"SELECT seq, op, actor_kind, {RISK} risk FROM (SELECT seq, actor_kind, CASE WHEN seq % 11 = 0 THEN 'EXPLODE' WHEN seq % 13 = 0 THEN 'SET_LAYOUT' ELSE op END op FROM f_ops)"),
         "chunk_invariant": sql(r"SELECT source_id, true quoted, true numbered, length(raw_content) - length(ltrim(raw_content, E' \t\n\r')) AS first, length(rtrim(raw_content, E' \t\n\r')) AS last FROM f_sources WHERE trim(raw_content, E' \t\n\r') <> ''"),
         "gate_split": sql(f"SELECT tenant_id, op, risk, count(*) n FROM (SELECT *, {RISK} risk FROM f_ops) GROUP BY ALL"),
@@ -235,8 +237,8 @@ def all_queries() -> dict[str, str]:
         "disconnect_effect": sql("SELECT edge_id, coalesce(invalid_at, (SELECT min(commit_ts) FROM f_ops o WHERE o.op = 'UPDATE_NODE' AND o.node_id = e.seq)) invalid_at FROM f_edges e"),
         "review_transition": sql("SELECT changeset_id, CASE WHEN changeset_id = f THEN 'rejected' ELSE status END status, CASE WHEN changeset_id = f THEN 'ada' END reviewed_by FROM f_changesets, (SELECT min(changeset_id) f FROM f_changesets WHERE status = 'partial')"),
     }
-    searched = f"hit AS (SELECT * FROM (SELECT segment_id, s.source_id, s.text, {cosine('s.embedding', 'q')} score FROM f_segments s, f_query WHERE {HERE}) ORDER BY score DESC, segment_id LIMIT 10)"
+    searched = f"hit AS (SELECT * FROM (SELECT segment_id, s.source_id, s.text, s.locator, {cosine('s.embedding', 'q')} score FROM f_segments s, f_query WHERE {HERE}) ORDER BY score DESC, segment_id LIMIT 10)"
     origin = f"JOIN (SELECT source_id, origin FROM f_sources WHERE {HERE}) o USING (source_id)"
-    out["search_segments"] = sql(f"SELECT segment_id, source_id, hit.text, round(score, 6) score, origin FROM hit {origin}", searched)
+    out["search_segments"] = sql(f"SELECT segment_id, source_id, hit.text, hit.locator, round(score, 6) score, origin FROM hit {origin}", searched)
     out["search_min_score"] = sql(f"SELECT segment_id, source_id, round(score, 6) score, origin FROM hit {origin} WHERE score >= 0.15", searched)
     return out

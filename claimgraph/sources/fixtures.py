@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def n_docs(self) -> int:
         return self.table("documents").count()
 
-    @property
+    @cached_property
     def n_vectors(self) -> int:
         return self.table("embeddings").count()
 
@@ -35,7 +37,7 @@ class Fixtures:
         labels = self.table("labels").select("doc_id", "quality")
         d, i = self.table("documents").join(labels, "doc_id", "left"), F.col("doc_id")
         status = F.when(F.col("quality") == 1, "done").when(F.col("quality") == 0, "failed").otherwise("pending")
-        return d.select(i.alias("source_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), F.col("source").alias("origin"), F.col("text").alias("raw_content"), "lang", status.alias("extraction_status"), (EPOCH + i * 60).alias("created_at"))
+        return d.select(i.alias("source_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), F.col("source").alias("origin"), F.col("text").alias("raw_content"), "lang", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), status.alias("extraction_status"), (EPOCH + i * 60).alias("created_at"))
 
     def nodes(self, vectors: bool = True) -> DataFrame:
         d, i, n = self.table("documents"), F.col("doc_id"), self.n_docs
@@ -45,7 +47,7 @@ class Fixtures:
         none = F.array().cast("array<string>")
         out = d.select(
             i.alias("node_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), kind.alias("type"), F.split_part(kind, F.lit("/"), F.lit(1)).alias("kind"),
-            F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.concat_ws("/", "lang", "source").alias("summary"), F.when(i % 7 == 0, F.array(F.array_join(F.slice(words, 1, 2), " "))).otherwise(none).alias("aliases"),
+            F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.concat_ws("/", "lang", "source").alias("summary"), F.when(i % 11 == 0, F.array(F.concat(F.lit("folded "), "lang"))).otherwise(none).alias("summaries"), F.when(i % 7 == 0, F.array(F.array_join(F.slice(words, 1, 2), " "))).otherwise(none).alias("aliases"),
             status.alias("status"), F.when(i % 17 == 0, F.lit(EPOCH)).alias("deleted_at"), ((i % 10) / 10).alias("confidence"), F.array(i, (i + 2) % n, i).alias("citations"),
             (EPOCH + i * 60).alias("created_at"), (EPOCH + i * 60 + (i * 7919 % 1000) * 60).alias("updated_at"),
         )
@@ -60,17 +62,17 @@ class Fixtures:
     def graph_nodes(self) -> DataFrame:
         return self.nodes().filter((F.col("node_id") % 5 != 0) & (F.col("status") == "active"))
 
-    def edges(self, modulus: int = 0) -> DataFrame:
+    def edges(self) -> DataFrame:
         n = self.n_docs
         parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
-        rows = self.table("lineitem").filter(F.col("l_orderkey") % 20 == modulus).select(*parts).distinct()
+        rows = self.table("lineitem").select(*parts).distinct()
         source = F.col("l_partkey") % n
         rows = rows.withColumn("source_id", source)
         kind = F.when(F.col("l_returnflag") == "A", "affects").when(F.col("l_returnflag") == "N", "contains").otherwise("depends_on")
         valid = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
         s = F.col("source_id")
         return rows.select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"), "source_id",
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", valid).alias("edge_id"), "source_id",
             (((F.col("l_suppkey") * 37 + F.col("l_linenumber")) % (n // 2)) * 2 + s % 2).alias("target_id"), self.tenant(s).alias("tenant_id"), self.graph(s).alias("graph_id"),
             kind.alias("type"), valid.alias("valid_at"), F.when(F.col("l_linestatus") == "F", valid + 90 * 86400).alias("invalid_at"), F.col("l_orderkey").alias("seq"),
         )
@@ -78,7 +80,7 @@ class Fixtures:
     def segments(self) -> DataFrame:
         v = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         d, i = self.table("documents").join(v, "doc_id"), F.col("doc_id")
-        return d.select(i.alias("segment_id"), i.alias("source_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), F.substring("text", 1, 1200).alias("text"), "embedding")
+        return d.select(i.alias("segment_id"), i.alias("source_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), "text", F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("char").alias("unit")).alias("locator"), "embedding")
 
     def query(self, vec_id: int = 8) -> list[float]:
         return self.table("embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]
