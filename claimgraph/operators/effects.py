@@ -31,6 +31,8 @@ class Effects:
     edges: DataFrame
     #: New edges with the operation that made them.
     made: DataFrame
+    #: Edges that ended, and new ones.
+    changed: DataFrame
 
 
 def of(key: str) -> Column:
@@ -56,6 +58,16 @@ def check(ops: DataFrame, nodes: DataFrame) -> None:
         raise ScopeViolation(lost["node_id"])
 
 
+def concerned(nodes: DataFrame, edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that operations name, and the edges at them or named: all that ``take_effect`` can change or must know."""
+    names = F.array(*[of(k) for k in ("node_id", "new_id", "old_id", "source_id", "target_id")])
+    ids = ops.select(*SCOPE, F.explode(names).alias("id")).filter("id is not null").distinct()
+    near = lambda t, c: t.join(ids.withColumnRenamed("id", c), [*SCOPE, c], "left_semi").select(*t.columns)
+    cut = edges.join(kinds(ops, "DISCONNECT").select(*SCOPE, of("edge_id").alias("edge_id")).distinct(), [*SCOPE, "edge_id"], "left_semi").select(*edges.columns)
+    at = near(edges, "source_id").unionByName(near(edges, "target_id")).unionByName(cut).dropDuplicates([*SCOPE, "edge_id"])
+    return near(nodes, "node_id"), at
+
+
 def _added(ops: DataFrame, nodes: DataFrame, salt: str, question: str) -> DataFrame:
     """Rows of the nodes that operations create: stated ones, and an open question for each contradiction."""
     asked = F.col("op") == "CONTRADICT"
@@ -98,14 +110,14 @@ def _ending(edges: DataFrame, states: DataFrame, word: str) -> DataFrame:
     return edges.withColumn("ends", ends).drop("source_a", "source_b", "target_a", "target_b")
 
 
-def take_effect(nodes: DataFrame, edges: DataFrame, ops: DataFrame, *, salt: str, question: str = OPEN_QUESTION) -> Effects:
+def take_effect(nodes: DataFrame, edges: DataFrame, ops: DataFrame, *, salt: str, question: str = OPEN_QUESTION, at: Column | None = None) -> Effects:
     """Nodes and edges after ``ops`` (tenant_id, graph_id, seq, op, payload), all of which take effect.
 
-    ``salt`` names the list, so that doing it again gives the same ids.  Nothing is deleted.  New nodes have no
-    vector.  Of equal new edges the
-    first that lives on is kept, else the first.  One that is there, and lives when the operation's turn comes, is not added.
+    ``salt`` names the list, so that doing it again gives the same ids; ``at`` is the time of ends and changes, else now.
+    Nothing is deleted.  New nodes have no vector.  Of equal new edges the first that lives on is kept, else the first.
+    One that is there, and lives when the operation's turn comes, is not added.
     """
-    now, states = F.current_timestamp(), _states(ops)
+    now, states = F.current_timestamp() if at is None else at, _states(ops)
     merges = kinds(ops, "MERGE_NODE").select("tenant_id", of("node_id").alias("node_id"), of("alias").alias("alias"), of("summary").alias("summary"), "seq")
     out = merge_fold(nodes.unionByName(_added(ops, nodes, salt, question)), merges).drop("n_merges", "n_citations")
     cites = kinds(ops, "MERGE_NODE").filter(of("source_id").isNotNull()).select(*SCOPE, of("node_id").alias("node_id"), F.struct("seq", of("source_id").alias("source_id"), of("run_id").alias("run_id")).alias("c"))
@@ -130,5 +142,7 @@ def take_effect(nodes: DataFrame, edges: DataFrame, ops: DataFrame, *, salt: str
         *SCOPE, uuid_of(F.lit(salt), F.col("source_id"), F.col("target_id"), F.col("type")).alias("edge_id"), "source_id", "target_id", "type", F.lit("active").alias("status"), "confidence",
         now.alias("valid_at"), F.when(F.col("ended"), now).alias("invalid_at"), F.lit(None).cast("timestamp").alias("expired_at"), "op",
     )
-    old = old.withColumn("invalid_at", F.when(F.col("invalid_at").isNull() & F.col("ends").isNotNull(), now).otherwise(F.col("invalid_at")))
-    return Effects(out, old.select(*edges.columns).unionByName(made.select(*edges.columns)), made)
+    old = old.withColumn("ended_now", F.col("invalid_at").isNull() & F.col("ends").isNotNull()).withColumn("invalid_at", F.when(F.col("ended_now"), now).otherwise(F.col("invalid_at")))
+    added, ended = made.select(*edges.columns), F.col("ended_now")
+    old = old.select(*edges.columns, ended)
+    return Effects(out, old.drop("ended_now").unionByName(added), made, old.filter(ended).drop("ended_now").unionByName(added))

@@ -45,6 +45,16 @@ def unindexed(sources: DataFrame, segments: DataFrame) -> DataFrame:
     return sources.filter(F.coalesce("raw_content", F.lit("")) != "").join(segments.select("source_id"), "source_id", "left_anti")
 
 
+def without_tenant(rows: DataFrame, tenant: str) -> DataFrame:
+    """A table once a tenant is deleted: its partition folders alone are gone."""
+    return rows.filter(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))
+
+
+def without_vector(nodes: DataFrame) -> DataFrame:
+    """Live nodes that no search can find until they are embedded again."""
+    return nodes.filter(is_live_node() & F.col("embedding").isNull())
+
+
 def cost_daily(runs: DataFrame) -> DataFrame:
     day = F.date_format(F.date_trunc("day", "created_at"), "yyyy-MM-dd")
     return runs.groupBy(day.alias("day"), "model").agg(F.count(F.lit(1)).alias("runs"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("llm_calls").alias("llm_calls"))

@@ -1,8 +1,4 @@
-"""The operation log: risk gate, and node and edge states as folds.
-
-A log row is (tenant_id, seq, commit_ts, actor_kind, op, node_id, ...).  States are folds grouped by the object that
-a row touches; nothing is deleted, an edge or node only gets an end.
-"""
+"""The operation log: the risk gate, merges, new edges and counts.  What operations do to nodes and edges is in ``effects``."""
 
 from __future__ import annotations
 
@@ -67,30 +63,6 @@ def merge_fold(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     }).drop("new_aliases", "new_summaries", "n")
 
 
-def state_fold(ops: DataFrame) -> DataFrame:
-    """(tenant_id, node_id, status, title_of, ended_at): the last word on each node."""
-    status = F.when(F.col("op") == "SUPERSEDE", "superseded").when(F.col("op") == "REMOVE_NODE", "rejected")
-    removed = F.min(F.when(F.col("op") == "REMOVE_NODE", F.col("commit_ts")))
-    titled = F.when(F.col("op") == "UPDATE_NODE", F.col("alias"))
-    return ops.groupBy("tenant_id", "node_id").agg(
-        F.coalesce(F.max_by(status, F.when(status.isNotNull(), F.col("seq"))), F.lit("active")).alias("status"),
-        F.max_by(titled, F.when(titled.isNotNull(), F.col("seq"))).alias("title"), removed.alias("deleted_at"), F.count(F.lit(1)).alias("n_ops"),
-    )
-
-
-def ended_edges(edges: DataFrame, touches: DataFrame, spare: tuple[str, ...] = ()) -> DataFrame:
-    """Edges with ``invalid_at`` brought forward to the first touch (node_id, at) of either end after they began.
-
-    A node's touches meet its edges as one sorted list, so the join gives two rows an edge at most.
-    """
-    lists = touches.groupBy("node_id").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    ends = edges.filter(~F.col("type").isin(*spare)) if spare else edges
-    ends = ends.select("edge_id", "valid_at", F.explode(F.array("source_id", "target_id")).alias("node_id"))
-    hit = ends.join(lists, "node_id").select("edge_id", F.array_min(F.expr("filter(ats, a -> a >= valid_at)")).alias("at"))
-    first = hit.groupBy("edge_id").agg(F.min("at").alias("ended"))
-    return edges.join(first, "edge_id", "left").withColumn("invalid_at", F.least("invalid_at", "ended")).drop("ended")
-
-
 def new_edges(proposed: DataFrame, live: DataFrame) -> DataFrame:
     """Proposed edges that do not exist: the first of equal ones, without loops, not among the live ones."""
     key = ["tenant_id", "graph_id", "source_id", "target_id", "type"]
@@ -99,15 +71,6 @@ def new_edges(proposed: DataFrame, live: DataFrame) -> DataFrame:
     return first.join(live.select(*key), key, "left_anti")
 
 
-def contradictions(ops: DataFrame) -> DataFrame:
-    """The open question that each contradiction raises."""
-    return ops.filter(F.col("op") == "CONTRADICT").select(
-        "tenant_id", F.concat(F.lit("oq-"), F.col("seq")).alias("node_id"), F.lit("knowledge").alias("kind"), F.lit("knowledge/open_question").alias("type"),
-        F.concat(F.lit("Conflict: "), F.coalesce("new_title", F.lit("new claim")), F.lit(" vs "), F.coalesce("old_title", F.lit("existing claim"))).alias("title"),
-        F.array("node_id", "other_id").alias("conflict_node_ids"), F.lit(False).alias("resolved"),
-    )
-
-
 def metrics(ops: DataFrame) -> DataFrame:
     """Counts of what a log does, per tenant."""
     ok = F.col("risk") == "additive"

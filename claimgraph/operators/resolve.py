@@ -7,6 +7,8 @@ whole run resolves; the memo is a window over them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +75,12 @@ def best_candidates(candidates: DataFrame, nodes: DataFrame, k: int = 5) -> Data
     )
 
 
-def ladder(candidates: DataFrame, nodes: DataFrame, *, merge: float = 0.90, related: float = 0.74, k: int = 5, canonical: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+def ladder(candidates: DataFrame, nodes: DataFrame, *, merge: float = 0.90, related: float = 0.74, k: int = 5, canonical: DataFrame | None = None, verdicts: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per candidate: run, pos, branch, target_id, score, decision and whether it creates a node.
 
     ``canonical`` has (cand_id, canonical_node_id, canonical_title, exact); ``verdicts`` (cand_id, verdict) is the
-    adjudicator's table, distinct where it has no row.  An empty title key never merges through the memo.
+    adjudicator's table, distinct where it has no row.  Or ``adjudicate`` takes the nominated pairs (cand_id, node_id) and
+    gives (cand_id, verdict): first of those with a node of the host's, then of the others' nominees.  An empty title key never merges through the memo.
     """
     best = best_candidates(candidates, nodes, k)
     exact = title_exact(candidates, nodes).withColumnRenamed("node_id", "exact_id")
@@ -88,15 +91,22 @@ def ladder(candidates: DataFrame, nodes: DataFrame, *, merge: float = 0.90, rela
     node_kind = nodes.schema["node_id"].dataType
     rows = rows.join(canonical, "cand_id", "left") if canonical is not None else rows.withColumns({"canonical_node_id": F.lit(None).cast(node_kind), "canonical_title": F.lit(None).cast("string")})
     rows = rows.join(verdicts, "cand_id", "left") if verdicts is not None else rows.withColumn("verdict", F.lit(None).cast("string"))
-    rows = rows.withColumn("verdict", F.coalesce("verdict", F.lit("distinct")))
-
     has_node = F.col("canonical_node_id").isNotNull()
     same_key = (norm_title(F.col("canonical_title")) == F.col("norm")) & (F.col("norm") != "")
+    rows = rows.withColumns({"verdict": F.coalesce("verdict", F.lit("distinct")), "hosted": F.coalesce("verdict", F.lit("distinct"))})
+    if adjudicate is not None:
+        sure = lambda c: F.coalesce(c, F.lit(False))
+        settled = sure(F.col("same_score") >= merge) | F.col("exact_id").isNotNull() | sure(has_node & same_key) | (F.col("canonical_title").isNotNull() & ~has_node)
+        nominee = F.when(F.col("same_score") >= related, F.col("same_id")).when(F.col("any_score") >= related, F.col("any_id")).otherwise(F.col("fuzzy_id"))
+        told = adjudicate(rows.filter(~settled & has_node).select("cand_id", F.col("canonical_node_id").alias("node_id"))).select("cand_id", F.col("verdict").alias("hosted"))
+        rows = rows.drop("hosted").join(told, "cand_id", "left")
+        told = adjudicate(rows.filter(~settled & nominee.isNotNull() & ~F.col("hosted").eqNullSafe("duplicate")).select("cand_id", nominee.alias("node_id"))).select("cand_id", "verdict")
+        rows = rows.drop("verdict").join(told, "cand_id", "left").withColumns({"verdict": F.coalesce("verdict", F.lit("distinct")), "hosted": F.coalesce("hosted", F.lit("distinct"))})
     branch = (
         F.when(F.col("same_score") >= merge, "vector_threshold")
         .when(F.col("exact_id").isNotNull(), "exact_title")
         .when(has_node & same_key, "canonical_exact")
-        .when(has_node & (F.col("verdict") == "duplicate"), "canonical_adjudicated")
+        .when(has_node & (F.col("hosted") == "duplicate"), "canonical_adjudicated")
         .when(F.col("canonical_title").isNotNull() & ~has_node, "canonical_new")
         .when(F.col("same_score") >= related, "adjudicated_same")
         .when(F.col("any_score") >= related, "adjudicated_any")

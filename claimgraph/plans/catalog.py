@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunk, extract, govern, oplog, read, resolve, scope
+from ..operators import chunk, effects, extract, govern, oplog, read, resolve, scope
 from ..sources.capture import capture, latest
 from ..sources.fixtures import Fixtures
 from ..sources.schema import Ontology
@@ -466,49 +466,97 @@ def gate_split(x: Fixtures) -> DataFrame:
     return oplog.gated(x.ops()).groupBy("tenant_id", "op", "risk").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: When the lists of operations take effect.
+AT = 1735689600
+OTHER = "(node_id + 20 * (1 + seq % 6)) % 140"  # another node of the scope
+
+
+def _log(x: Fixtures) -> DataFrame:
+    """The log with its payloads."""
+    u, other = F.col("node_id").cast("string"), F.expr(f"cast({OTHER} as string)")
+    kinds = {"MERGE_NODE": {"node_id": u, "alias": "alias", "summary": "summary"}, "UPDATE_NODE": {"node_id": u, "title": "alias"}, "REMOVE_NODE": {"node_id": u}, "SUPERSEDE": {"new_id": other, "old_id": u}, "ADD_EDGE": {"source_id": u, "target_id": other, "type": F.lit("references")}}
+    value = F.lit(None).cast("map<string,string>")
+    for op, own in kinds.items():
+        value = F.when(F.col("op") == op, F.create_map(*[y for k, v in own.items() for y in (F.lit(k), F.col(v) if isinstance(v, str) else v)])).otherwise(value)
+    return x.ops().withColumns({"graph_id": x.graph(F.col("node_id")), "payload": value})
+
+
+def _effects(x: Fixtures, ops: DataFrame) -> effects.Effects:
+    """What a list of operations does to the whole graph."""
+    none, time = lambda t: F.lit(None).cast(t), lambda c: F.timestamp_seconds(F.col(c))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    nodes = x.nodes(False).select(
+        "tenant_id", "graph_id", text("node_id"), "kind", "type", "title", "aliases", "summary", "summaries", F.transform("citations", lambda c: F.struct(c.cast("string").alias("source_id"), none("string").alias("run_id"))).alias("citations"),
+        none("array<string>").alias("conflict_node_ids"), none("string").alias("resolved"), "status", "confidence", time("deleted_at").alias("deleted_at"), none("string").alias("layout"), time("created_at").alias("created_at"), time("updated_at").alias("updated_at"),
+    )
+    edges = x.edges().select("tenant_id", "graph_id", "edge_id", text("source_id"), text("target_id"), "type", F.lit("active").alias("status"), none("double").alias("confidence"), time("valid_at").alias("valid_at"), time("invalid_at").alias("invalid_at"), none("timestamp").alias("expired_at"))
+    return effects.take_effect(nodes, edges, ops.select("tenant_id", "graph_id", "seq", "op", "payload"), salt="list", at=F.timestamp_seconds(F.lit(AT)))
+
+
+def _states(done: effects.Effects) -> DataFrame:
+    return done.nodes.select("tenant_id", F.col("node_id").cast("long").alias("node_id"), "status", "title", F.col("deleted_at").isNotNull().alias("deleted"), F.array_join("aliases", "|").alias("aliases"))
+
+
+def _ends(done: effects.Effects) -> DataFrame:
+    """All edges; those that an operation made go by their ends, as their ids follow from the list's."""
+    made = F.concat_ws(">", "source_id", "target_id")
+    return done.edges.select(F.when(F.col("type").isin("supersedes", "references", "contradicts"), made).otherwise(F.col("edge_id")).alias("name"), "type", F.col("invalid_at").isNotNull().alias("ended"))
+
+
 @query
 def apply_gated(x: Fixtures) -> DataFrame:
-    return oplog.applied(x.ops(), F.col("seq") % 2 == 0).groupBy("tenant_id", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+    return _states(_effects(x, oplog.applied(_log(x), F.col("seq") % 2 == 0)))
 
 
 @query
 def fold_nodes(x: Fixtures) -> DataFrame:
-    return oplog.state_fold(oplog.applied(x.ops(), F.lit(True)))
-
-
-def _touched(x: Fixtures, op: str, spare: tuple[str, ...] = ()) -> DataFrame:
-    at = F.col("commit_ts") - 730 * 86400
-    touches = x.ops().filter(F.col("op") == op).select("node_id", at.alias("at"))
-    return oplog.ended_edges(x.edges().withColumn("invalid_at", F.lit(None).cast("long")), touches, spare)
+    return _states(_effects(x, oplog.applied(_log(x), F.lit(True))))
 
 
 @query
 def supersede_effect(x: Fixtures) -> DataFrame:
-    return _touched(x, "SUPERSEDE", ("contains",)).select("edge_id", "type", "invalid_at")
+    return _ends(_effects(x, _log(x).filter("op = 'SUPERSEDE'")))
 
 
 @query
 def remove_effect(x: Fixtures) -> DataFrame:
-    return _touched(x, "REMOVE_NODE").select("edge_id", "type", "invalid_at")
+    return _ends(_effects(x, _log(x).filter("op = 'REMOVE_NODE'")))
 
 
 @query
 def contradict_effect(x: Fixtures) -> DataFrame:
-    ops = x.ops().filter("op = 'ADD_EDGE'").withColumns({"op": F.lit("CONTRADICT"), "new_title": F.col("alias"), "old_title": F.when(F.col("seq") % 2 == 0, F.col("summary"))})
-    return oplog.contradictions(ops).select("tenant_id", "node_id", "type", "title", F.array_join("conflict_node_ids", ",").alias("conflict_node_ids"), "resolved")
+    pair = F.create_map(F.lit("new_id"), F.col("node_id").cast("string"), F.lit("old_id"), F.expr(f"cast({OTHER} as string)"), F.lit("new_title"), F.col("alias"), F.lit("old_title"), F.when(F.col("seq") % 2 == 0, F.col("summary")))
+    done = _effects(x, _log(x).filter("op = 'ADD_EDGE'").withColumns({"op": F.lit("CONTRADICT"), "payload": pair}))
+    return done.nodes.filter("conflict_node_ids is not null").select("tenant_id", "kind", "type", "title", F.array_join("conflict_node_ids", ",").alias("conflict_node_ids"), "resolved")
 
 
 @query
 def update_effect(x: Fixtures) -> DataFrame:
-    folded = oplog.state_fold(oplog.applied(x.ops(), F.lit(True)).filter("op = 'UPDATE_NODE'"))
-    nodes = x.nodes(False).join(folded.select("tenant_id", "node_id", F.col("title").alias("new_title")), ["tenant_id", "node_id"], "left")
-    return nodes.select("node_id", F.coalesce("new_title", "title").alias("title"), "type")
+    return _effects(x, _log(x).filter("op = 'UPDATE_NODE'")).nodes.select(F.col("node_id").cast("long").alias("node_id"), "title", "type")
 
 
 @query
 def disconnect_effect(x: Fixtures) -> DataFrame:
-    cut = x.ops().filter("op = 'UPDATE_NODE'").select(F.col("node_id").alias("seq"), "commit_ts").groupBy("seq").agg(F.min("commit_ts").alias("at"))
-    return x.edges().join(cut, "seq", "left").select("edge_id", F.coalesce("invalid_at", "at").alias("invalid_at"))
+    cut = x.ops().filter("op = 'UPDATE_NODE'").select(F.col("node_id").alias("seq"))
+    ops = x.edges().join(cut, "seq", "left_semi").select("tenant_id", "graph_id", "seq", F.lit("DISCONNECT").alias("op"), F.create_map(F.lit("edge_id"), F.col("edge_id")).alias("payload"))
+    return _ends(_effects(x, ops))
+
+
+@query
+def tenant_deleted(x: Fixtures) -> DataFrame:
+    """Rows left of each table once a tenant is deleted."""
+    out = None
+    for name, rows in (("sources", x.sources()), ("nodes", x.nodes(False)), ("edges", x.edges()), ("segments", x.segments())):
+        one = govern.without_tenant(rows, TENANT).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tenant_id") == TENANT).alias("theirs")).select(F.lit(name).alias("table_name"), "n", "theirs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def without_vector(x: Fixtures) -> DataFrame:
+    """What has to be embedded again: the text of every live node that has no vector."""
+    rows = govern.without_vector(x.nodes())
+    return rows.select("node_id", T.embed_text(F.col("title"), F.col("summary")).alias("text"))
 
 
 @query

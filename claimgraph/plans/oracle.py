@@ -152,15 +152,78 @@ MERGED = """m AS (SELECT tenant_id, node_id, list(alias ORDER BY seq) na, list(s
 STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def touched(op: str, spare: str = "") -> str:
-    keep = f"WHERE \"type\" <> '{spare}'" if spare else ""
+LOG = f"f_log AS (SELECT *, {graph('node_id')} graph_id, (node_id + 20 * (1 + seq % 6)) % 140 other, {RISK} risk FROM f_ops)"
+
+
+def states(keep: str) -> str:
+    """Nodes after the operations that meet a condition."""
     return sql(
-        'SELECT edge_id, "type", (SELECT min(spot) FROM hits WHERE hits.edge_id = e.edge_id) invalid_at FROM f_edges e',
-        f"touch AS (SELECT node_id, commit_ts - 730*86400 spot FROM f_ops WHERE op = '{op}')",
-        f"hits AS (SELECT edge_id, spot FROM (SELECT edge_id, valid_at, unnest([source_id, target_id]) node_id FROM f_edges {keep}) x JOIN touch USING (node_id) WHERE spot >= valid_at)",
+        "SELECT n.tenant_id, n.node_id, coalesce(s, n.status) status, coalesce(t, n.title) title, coalesce(gone, false) OR n.deleted_at IS NOT NULL deleted, array_to_string(list_sort(list_filter(list_distinct(list_concat(n.aliases, coalesce(more, []::VARCHAR[]))), lambda x: x <> n.title)), '|') aliases FROM f_nodes n LEFT JOIN f USING (tenant_id, node_id)",
+        LOG,
+        f"""f AS (SELECT tenant_id, node_id, arg_max(CASE op WHEN 'SUPERSEDE' THEN 'superseded' ELSE 'rejected' END, seq) FILTER (op IN ('SUPERSEDE', 'REMOVE_NODE')) s, arg_max(alias, seq) FILTER (op = 'UPDATE_NODE') t,
+ bool_or(op = 'REMOVE_NODE') gone, list(alias) FILTER (op = 'MERGE_NODE') more FROM f_log WHERE {keep} GROUP BY tenant_id, node_id)""",
     )
 
 
+def ends(op: str, made: str = "") -> str:
+    hit = lambda side: f"(tenant_id, graph_id, {side}) IN (SELECT (tenant_id, graph_id, node_id) FROM f_log WHERE op = '{op}')"
+    return sql(f'SELECT edge_id "name", "type", invalid_at IS NOT NULL OR {hit("source_id")} OR {hit("target_id")} ended FROM f_edges {made}', LOG)
+
+
+def walked() -> list[str]:
+    """The memo of a run in order, as a candidate under a host's name owns two keys."""
+    return [
+        f"""q AS (SELECT *, row_number() OVER (PARTITION BY run, "type" ORDER BY pos, cand_id) k, coalesce(CASE WHEN own = 'canonical_new' THEN {norm('canonical_title')} END, '') snd FROM l3)""",
+        """walk AS (SELECT run, "type" tp, 0::BIGINT k, []::VARCHAR[] ks, []::BIGINT[] cs, NULL::BIGINT cand_id, NULL::BIGINT hit, NULL::VARCHAR how FROM q GROUP BY run, "type"
+ UNION ALL SELECT run, tp, k, CASE WHEN a IS NULL AND b IS NULL AND makes THEN list_concat(ks, list_filter([nm, snd], lambda x: x <> '')) ELSE ks END,
+ CASE WHEN a IS NULL AND b IS NULL AND makes THEN list_concat(cs, list_transform(list_filter([nm, snd], lambda x: x <> ''), lambda x: cand_id)) ELSE cs END, cand_id, coalesce(a, b), CASE WHEN a IS NOT NULL THEN 'same_run' WHEN b IS NOT NULL THEN 'same_run_canonical' END
+ FROM (SELECT w.run, w.tp, q.k, ks, cs, q.cand_id, nm, snd, makes, CASE WHEN nm <> '' THEN cs[list_position(ks, nm)] END a, CASE WHEN snd <> '' THEN cs[list_position(ks, snd)] END b FROM walk w JOIN q ON q.run = w.run AND q."type" = w.tp AND q.k = w.k + 1))""",
+    ]
+
+
+HEAD, RELATIONS = "Relevant context (knowledge graph):", "Relationships:"
+CONTEXT = [
+    "near_edges AS (SELECT DISTINCT source_id, target_id, \"type\" FROM met1 WHERE source_id IN (SELECT id FROM found) AND target_id IN (SELECT id FROM found))",
+    f"""items AS (SELECT row_number() OVER (ORDER BY part, o) k, room, line FROM (
+ SELECT 1 part, row_number() OVER (ORDER BY coalesce(score, 0) DESC, reach) o, 5800 room, '- [' || "type" || '] ' || title || ' {{id: ' || id || '}}' || CASE WHEN coalesce(summary, '') <> '' THEN ' — ' || summary ELSE '' END line FROM found
+ UNION ALL SELECT 2, 0, NULL, chr(10) || '{RELATIONS}' FROM (SELECT count(*) c FROM near_edges) WHERE c > 0
+ UNION ALL SELECT 3, row_number() OVER (ORDER BY e.source_id, e.target_id, e."type"), 6000, '  ' || s.title || ' -[' || e."type" || ']-> ' || t.title FROM near_edges e JOIN found s ON s.id = e.source_id JOIN found t ON t.id = e.target_id))""",
+    f"""told AS (SELECT 0::BIGINT k, {len(HEAD) + 2}::BIGINT used, '{HEAD}' || chr(10) body, 0 omitted
+ UNION ALL SELECT i.k, CASE WHEN fits THEN used + length(line) + 1 ELSE used END, CASE WHEN fits THEN body || chr(10) || line ELSE body END, CASE WHEN fits THEN omitted ELSE omitted + 1 END
+ FROM (SELECT i.k, used, body, omitted, line, room IS NULL OR used + length(line) <= room fits FROM told JOIN items i ON i.k = told.k + 1) i)""",
+]
+
+
+#: White space, as Python sees it.
+_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE, WORD = f"[{_SPACE}]", f"[^{_SPACE}]"
+
+
+def chunked(size: int, overlap: int) -> list[str]:
+    """Chunks of every source, one after another.  Blank lines, at which chunks would end, are in none of the tables."""
+    half = size // 2
+    line = f"length(regexp_extract(substring(t, st + {half + 1}, {size - half}), '(?s)^.*\\n'))"
+    last = f"length(regexp_extract(substring(t, st + 1, {size + 1}), '(?s)^.*{SPACE}'))"
+    skip = lambda at, kind: f"({at} + length(regexp_extract(substring(t, {at} + 1), '^{kind}*')))"
+    end = f"CASE WHEN n - st <= {size} THEN n WHEN {line} > 0 THEN st + {half - 1} + {line} WHEN {last} > 0 THEN st + least({size}, {last}) ELSE {skip(f'(st + {size})', WORD)} END"
+    inside = f"substring(t, a, 1) <> '' AND a < n AND regexp_matches(substring(t, a, 2), '^{WORD}{WORD}')"
+    return [
+        "body AS (SELECT source_id, raw_content t, length(raw_content) n FROM f_sources)",
+        f"""cut AS (SELECT source_id, st, {end} fin FROM (SELECT *, {skip('0', SPACE)} st FROM body) WHERE st < n
+ UNION ALL SELECT source_id, st, {end} FROM (SELECT source_id, t, n, {skip('b', SPACE)} st FROM (SELECT *, CASE WHEN {inside} THEN {skip('a', WORD)} ELSE a END b
+  FROM (SELECT source_id, t, n, greatest(fin - {overlap}, st + 1) a FROM cut JOIN body USING (source_id) WHERE fin < n))) WHERE st < n)""",
+        f"""chunks AS (SELECT source_id, (row_number() OVER (PARTITION BY source_id ORDER BY st) - 1)::INTEGER AS "index", st::INTEGER AS "start", (st + length(c))::INTEGER AS "end", c AS text
+ FROM (SELECT source_id, st, regexp_replace(substring(t, st + 1, fin - st), '{SPACE}+$', '') c FROM cut JOIN body USING (source_id)) WHERE c <> '')""",
+    ]
+
+
+#: What the stand-in for an extractor finds in each line of some words.
+LINES = [
+    r"""lines AS (SELECT source_id, "index", unnest(ls) l, unnest(range(len(ls))) i FROM (SELECT *, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') ls FROM chunks))""",
+    f"worded AS (SELECT source_id, \"index\", i, w, list_filter(w, lambda x: regexp_full_match(x, '\\pL{{5,}}'))[1] long FROM (SELECT *, string_split_regex(regexp_replace(l, '^{SPACE}+|{SPACE}+$', '', 'g'), '{SPACE}+') w FROM lines) WHERE len(w) >= 4)",
+]
+
+
 def uuid_of(h: str) -> str:
     return f"concat_ws('-', {h}[1:8], {h}[9:12], {h}[13:16], {h}[17:20], {h}[21:32])"
 
@@ -228,13 +291,21 @@ def all_queries() -> dict[str, str]:
         "gate_classify": sql(f"SELECT seq, op, actor_kind, {RISK} risk FROM (SELECT seq, actor_kind, CASE WHEN seq % 11 = 0 THEN 'EXPLODE' WHEN seq % 13 = 0 THEN 'SET_LAYOUT' ELSE op END op FROM f_ops)"),
         "chunk_invariant": sql(r"SELECT source_id, true quoted, true numbered, length(raw_content) - length(ltrim(raw_content, E' \t\n\r')) AS first, length(rtrim(raw_content, E' \t\n\r')) AS last FROM f_sources WHERE trim(raw_content, E' \t\n\r') <> ''"),
         "gate_split": sql(f"SELECT tenant_id, op, risk, count(*) n FROM (SELECT *, {RISK} risk FROM f_ops) GROUP BY ALL"),
-        "apply_gated": sql(f"SELECT tenant_id, op, count(*) n, sum(seq)::BIGINT seqs FROM (SELECT *, {RISK} risk FROM f_ops) WHERE risk = 'additive' OR seq % 2 = 0 GROUP BY tenant_id, op"),
-        "fold_nodes": sql("SELECT tenant_id, node_id, coalesce(arg_max(CASE op WHEN 'SUPERSEDE' THEN 'superseded' ELSE 'rejected' END, seq) FILTER (op IN ('SUPERSEDE', 'REMOVE_NODE')), 'active') status, arg_max(alias, seq) FILTER (op = 'UPDATE_NODE') title, min(commit_ts) FILTER (op = 'REMOVE_NODE') deleted_at, count(*) n_ops FROM f_ops GROUP BY tenant_id, node_id"),
-        "supersede_effect": touched("SUPERSEDE", "contains"),
-        "remove_effect": touched("REMOVE_NODE"),
-        "contradict_effect": sql("SELECT tenant_id, 'oq-' || seq node_id, 'knowledge/open_question' AS \"type\", 'Conflict: ' || alias || ' vs ' || CASE WHEN seq % 2 = 0 THEN summary ELSE 'existing claim' END title, node_id || ',' || other_id conflict_node_ids, false resolved FROM f_ops WHERE op = 'ADD_EDGE'"),
+        "apply_gated": states("risk = 'additive' OR seq % 2 = 0"),
+        "fold_nodes": states("true"),
+        "supersede_effect": ends("SUPERSEDE", "UNION ALL SELECT DISTINCT other || '>' || node_id, 'supersedes', false FROM f_log WHERE op = 'SUPERSEDE'"),
+        "remove_effect": ends("REMOVE_NODE"),
+        "contradict_effect": sql("SELECT tenant_id, 'knowledge' kind, 'knowledge/open_question' AS \"type\", 'Conflict: ' || alias || ' vs ' || CASE WHEN seq % 2 = 0 THEN summary ELSE 'existing claim' END title, node_id || ',' || other conflict_node_ids, 'false' resolved FROM f_log WHERE op = 'ADD_EDGE'", LOG),
         "update_effect": sql("SELECT n.node_id, coalesce(u.t, n.title) title, n.\"type\" FROM f_nodes n LEFT JOIN (SELECT tenant_id, node_id, arg_max(alias, seq) t FROM f_ops WHERE op = 'UPDATE_NODE' GROUP BY 1, 2) u ON u.tenant_id = n.tenant_id AND u.node_id = n.node_id"),
-        "disconnect_effect": sql("SELECT edge_id, coalesce(invalid_at, (SELECT min(commit_ts) FROM f_ops o WHERE o.op = 'UPDATE_NODE' AND o.node_id = e.seq)) invalid_at FROM f_edges e"),
+        "disconnect_effect": sql("SELECT edge_id \"name\", \"type\", invalid_at IS NOT NULL OR seq IN (SELECT node_id FROM f_ops WHERE op = 'UPDATE_NODE') ended FROM f_edges"),
+        "tenant_deleted": sql(" UNION ALL ".join(f"SELECT '{n}' table_name, count(*) n, 0::BIGINT theirs FROM f_{n} WHERE tenant_id <> 'acme'" for n in ("sources", "nodes", "edges", "segments"))),
+        "without_vector": sql(f"SELECT node_id, {STRIP("title || chr(10) || summary")} AS text FROM f_nodes WHERE {LIVE} AND embedding IS NULL"),
+        "canonical_ops": sql("SELECT q.cand_id, coalesce(how, own) branch, decision, target_id, hit same_run_id, makes AND hit IS NULL creates FROM q JOIN walk ON walk.cand_id = q.cand_id WHERE canonical_title IS NOT NULL", canon, *ladder(True)[:-2], *walked()),
+        "context_text": sql("SELECT CASE WHEN (SELECT count(*) FROM found) = 0 THEN 'No relevant context found in the graph.' ELSE body || CASE WHEN omitted > 0 THEN chr(10) || chr(10) || '[... ' || omitted || ' more item(s) omitted for length]' ELSE '' END END AS context FROM told ORDER BY k DESC LIMIT 1", *RECALL, found("all1"), *CONTEXT),
+        "chunk_spans": sql('SELECT source_id, "index", "start", "end", text FROM chunks', *chunked(400, 60)),
+        "extract_batches": sql('SELECT source_id, "index", "start", "end" FROM chunks', *chunked(2000, 100)),
+        "seg_index": sql('SELECT source_id, "index", "start", "end", 64 AS width FROM chunks', *chunked(1200, 150)),
+        "extract_nodes": sql("SELECT source_id, \"index\" || ':c' || i temp_id, 'knowledge/insight' AS \"type\", 'knowledge' kind, array_to_string(w[1:8], ' ') title FROM worded UNION ALL SELECT source_id, \"index\" || ':e' || i, 'entity/component', 'entity', long FROM worded WHERE long IS NOT NULL", *chunked(200_000, 2_000), *LINES),
         "review_transition": sql("SELECT changeset_id, CASE WHEN changeset_id = f THEN 'rejected' ELSE status END status, CASE WHEN changeset_id = f THEN 'ada' END reviewed_by FROM f_changesets, (SELECT min(changeset_id) f FROM f_changesets WHERE status = 'partial')"),
     }
     searched = f"hit AS (SELECT * FROM (SELECT segment_id, s.source_id, s.text, s.locator, {cosine('s.embedding', 'q')} score FROM f_segments s, f_query WHERE {HERE}) ORDER BY score DESC, segment_id LIMIT 10)"

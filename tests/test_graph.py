@@ -237,3 +237,82 @@ def test_review_applies_what_waited(graph):
         graph.review("acme", "gate", r.changeset_id, approve=True)
     with pytest.raises(ScopeViolation):
         graph.apply("acme", "gate", [("ADD_EDGE", {"source_id": a, "target_id": "elsewhere", "type": "affects"})])
+
+
+def told(graph, answers, *, prompts=None, **options):
+    """A graph whose extractor answers by text, kept apart from the others."""
+
+    def extractor(text, prompt):
+        return answers[text] | {"usage": {"model": "m", "input_tokens": 100, "output_tokens": len("\n".join(prompt))}}
+
+    return Graph(graph.spark, f"{graph.store.root}-{len(answers)}-{abs(hash(tuple(answers)))}", embedder=extract.hash_embedder(8), extractor=extractor, settings=Settings(dimensions=8, **options.pop("settings", {})), **options)
+
+
+def node(title, label="entity/screen", **more):
+    return {"type": label, "title": title} | more
+
+
+def test_extraction_order_prompt_runs_and_folded_wording(graph):
+    first = {"nodes": [node("Checkout Screen", temp_id="n_a", summary="first wording"), node("Retry rule", "knowledge/decision"), node("The checkout", summary="x", kind="custom")], "edges": [{"source_temp_id": "1", "target_temp_id": "n_a", "type": "affects"}, {"target_temp_id": "n_a"}]}
+    second = {"nodes": '[{"temp_id": "q", "type": "entity/screen", "title": "checkout", "summary": "second wording", "surface_phrase": "the till"}, 7]', "edges": None}
+    seen = []
+    g = told(graph, {"one": first, "two": second}, meter=lambda **spent: seen.append(spent))
+    a = g.add("t", "g", "one")
+    assert (a.status, a.created, a.merged, a.edges) == ("done", 2, 1, 1), a  # the third has the first's key and type
+    before = g.prompt("t", "g")
+    assert "Checkout Screen" in before[1] and len(g.prompt("other", "g")) == 1
+    b = g.add("t", "g", "two")
+    assert (b.created, b.merged) == (0, 1), b
+    shown = {r["title"]: r["summary"] for r in g.recall("t", "g", "x", top_k=9)[0].collect()}
+    assert shown["Checkout Screen"] == "first wording · x · second wording"
+    runs = {r["run_id"]: r for r in g.store.read("runs").collect()}
+    assert runs[a.run_id]["status"] == runs[b.run_id]["status"] == "completed" and runs[b.run_id]["input_tokens"] == 100
+    # The second prompt held the roster, so it was longer.
+    assert runs[b.run_id]["output_tokens"] > runs[a.run_id]["output_tokens"] and [s["llm_calls"] for s in seen] == [1, 1]
+    c = g.add("t", "g", "three")  # the extractor knows no answer
+    assert c.status == "failed" and g.store.read("runs").filter("status = 'failed'").count() == 1 and len(seen) == 3
+    assert g.store.read("sources").filter("extraction_status = 'failed'").first()["extraction_error"]
+    with pytest.raises(ScopeViolation):
+        g.restructure("other", "g", a.source_ids[0])
+    again = g.restructure("t", "g", a.source_ids[0])
+    assert (again.status, again.created, again.merged, again.edges) == ("done", 0, 3, 0), again
+
+
+def test_hosts_entities_and_adjudication(graph):
+    nodes = lambda *titles: {"nodes": [node(t) for t in titles], "edges": []}
+    host = lambda graph_id, kind, title: {"title": "Orders Overview"} if title == "order list" else None
+    judge = lambda new, old: ("duplicate" if "merge" in new["title"] else 1 / 0, {"model": "j", "input_tokens": 5})
+    texts = {"a": nodes("alpha beta gamma delta epsilon", "order list"), "b": nodes("alpha beta gamma delta merge", "alpha beta gamma delta fails"), "c": nodes("order list")}
+    g = told(graph, texts, canonical=host, adjudicator=judge)
+    assert g.add("t", "g", "a").created == 2
+    r = g.store.read("nodes").filter("title = 'Orders Overview'").first()
+    assert r["aliases"] == ["order list"]
+    b = g.add("t", "g", "b")
+    assert (b.status, b.created, b.merged) == ("done", 1, 1), b  # the failure leaves a node of its own
+    assert g.add("t", "g", "c").merged == 1  # by its alias
+    assert g.store.read("runs").filter("llm_calls = 2").count() == 1
+    made = g.apply("t", "g", [("ADD_NODE", {"type": "knowledge/insight", "title": "x"})])
+    g.store.commit(("nodes", "upsert", g.store.read("nodes").filter("title = 'x'").withColumn("embedding", F.lit(None).cast("array<float>"))))
+    assert made.created == 1 and g.reembed("t", "g") == 1 and g.reembed("t", "g") == 0
+    g.delete_tenant("t")
+    assert all(g.store.read(t).count() == 0 for t in ("sources", "segments", "nodes", "edges", "runs", "changesets"))
+
+
+def test_what_is_written_is_in_proportion_to_the_change(spark, tmp_path):
+    import os
+
+    store = Store(spark, f"file://{tmp_path}")
+    columns, schema = store.read("nodes").columns, store.read("nodes").schema
+    row = lambda i, title: tuple({"tenant_id": "t", "graph_id": "g", "node_id": str(i), "title": title, "status": "active"}.get(c) for c in columns)
+    store.append("nodes", spark.createDataFrame([row(i, f"title {i} " * 50) for i in range(5000)], schema))
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path) for f in fs)
+    before, version = size(), store.version()
+    store.commit(("nodes", "upsert", spark.createDataFrame([row(7, "new"), row(9000, "more")], schema)), ("runs", "insert", spark.createDataFrame([("t", "g", "r", None, "completed", "m", 1, 1, 1, None)], store.read("runs").schema)), expected=version)
+    assert size() - before < 40_000 and store.read("nodes").count() == 5001 and store.read("runs").count() == 1
+    assert store.read("nodes").filter("node_id = '7'").first()["title"] == "new" and store.read("nodes", version).filter("node_id = '7'").first()["title"].startswith("title 7")
+    with pytest.raises(ConcurrentModification):
+        store.commit(("nodes", "upsert", spark.createDataFrame([row(7, "stale")], schema)), expected=version)
+    store.compact("nodes")
+    assert store.read("nodes").count() == 5001 and not store._folders("nodes", store.version())["upsert"]
+    store.delete_tenant("t")
+    assert store.read("nodes").count() == 0
