@@ -8,8 +8,10 @@ A byte goes if a string of ``window`` bytes over it also starts in a document wi
 2. Sorting.  A shard leaves out anchors that only one document has, keeps each distinct segment once with its
    smallest document, and sorts the segments' suffixes by external induction with common-prefix values
    (``suffix_sort``).  Neighbours that share ``window`` bytes form a group; its smallest document is every member's.
-   An occurrence of a segment is covered where that document is smaller than its own.  A shard beyond
-   ``SLICE_BYTES`` is sorted anchor range by anchor range from a spooled file.
+   An occurrence of a segment is covered where that document is smaller than its own.  A batch of documents sends
+   each distinct segment once, with its occurrences as numbers, which wait in a spooled file.  A shard beyond
+   ``SLICE_BYTES`` is cut again by anchors of another hash and dealt to files, as often as needed, so that a hot
+   anchor is divided too.
 3. Cutting.  Covered intervals, merged per document, come back to the texts by a broadcast join while they take
    less than ``BROADCAST_BYTES`` in all, and by a shuffled join beyond.
 
@@ -40,6 +42,11 @@ BATCH_BYTES = 16 << 20
 SHARD_TEXT_BYTES = 5 << 20
 SLICE_BYTES = 64 << 20
 PIECE = 1 << 20
+OCCURRENCES = 100_000
+#: Files that a large shard is dealt to, and how often: strings on which as many hashes agree are sorted as they are.
+MOST_FILES = 64
+MOST_LEVELS = 6
+SPOOL_BYTES = 8 << 20
 BROADCAST_BYTES = 24 << 20
 MOST_SHARDS = 100_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -47,14 +54,14 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _hashes(a: np.ndarray) -> np.ndarray:
+def _hashes(a: np.ndarray, seed: int) -> np.ndarray:
     """32-bit hashes of the GRAM-byte strings that start at each byte."""
     w = a.astype(np.uint64)
     w = w[:-1] | (w[1:] << np.uint64(8))
     w = w[:-2] | (w[2:] << np.uint64(16))
     w = w[:-4] | (w[4:] << np.uint64(32))
     n = len(a) - GRAM + 1
-    g = (w[:n] * _A) ^ w[GRAM - 8 : GRAM - 8 + n]
+    g = (w[:n] * _A) ^ w[GRAM - 8 : GRAM - 8 + n] ^ np.uint64(seed * int(_B) % (1 << 64))
     g *= _B
     g ^= g >> np.uint64(29)
     g *= _A
@@ -69,18 +76,18 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-def anchors(text: np.ndarray, window: int) -> np.ndarray:
+def anchors(text: np.ndarray, window: int, seed: int = 0) -> np.ndarray:
     """The anchor of the window that starts at each byte."""
     n = len(text) - window + 1
-    return np.concatenate([_least(_hashes(text[a : min(a + PIECE, n) + window - 1]), window - GRAM + 1) for a in range(0, n, PIECE)]) if n > 0 else np.zeros(0, np.uint32)
+    return np.concatenate([_least(_hashes(text[a : min(a + PIECE, n) + window - 1], seed), window - GRAM + 1) for a in range(0, n, PIECE)]) if n > 0 else np.zeros(0, np.uint32)
 
 
-def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(texts: list[bytes], window: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, length, anchor) of the runs of windows with one anchor."""
     whole = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    m = anchors(whole, window)
+    m = anchors(whole, window, seed)
     new = np.ones(len(m), bool)
     new[1:] = m[1:] != m[:-1]
     new[begin[begin < len(m)]] = True
@@ -94,8 +101,10 @@ def segments(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     return doc, first - begin[doc], last - first + window - 1, m[first]
 
 
-_KINDS = ["<i8", "<i4", "<u4", "<u4", "<u4", "<u4", "u1"]  # ids, marks, segments per document, start's difference, length, anchor, bytes
-_LEVELS = [3, 3, 3, 3, 3, 3, 6]
+#: Of a row: ids, marks and occurrences of each document; start's difference and segment of each occurrence (0 if new,
+#: else one more than its number); length, anchor and bytes of each distinct segment.
+_KINDS = ["<i8", "<i4", "<u4", "<u4", "<u4", "<u4", "<u4", "u1"]
+_LEVELS = [3, 3, 3, 3, 3, 3, 3, 6]
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -119,6 +128,24 @@ def _unpack(data: bytes, which: list[int]) -> list[np.ndarray]:
     return out
 
 
+def _row(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], anchor: np.ndarray) -> bytes:
+    """Occurrences in order of their documents: of segment ``pieces[k]`` in document ``doc[k]`` at ``start[k]``."""
+    known: dict[bytes, int] = {}
+    which = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
+    new = np.diff(np.maximum.accumulate(which), prepend=-1) > 0
+    present, count = np.unique(doc, return_counts=True)
+    head = np.cumsum(count) - count
+    step = np.diff(start, prepend=0)
+    step[head] = start[head]
+    length = np.fromiter(map(len, known), np.int64, len(known))
+    return _pack([ids[present], marks[present], count, step, np.where(new, 0, which + 1), length, anchor[new], np.frombuffer(b"".join(known), np.uint8)])
+
+
+def _which(ref: np.ndarray) -> np.ndarray:
+    new = ref == 0
+    return np.where(new, np.cumsum(new) - 1, ref.astype(np.int64) - 1)
+
+
 def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
     """(shard, data): the segments of a batch of documents that belong to a shard."""
 
@@ -148,11 +175,8 @@ def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
             if not len(own):
                 continue
             d, s, n = doc[own], start[own], length[own]
-            present, count = np.unique(d, return_counts=True)
-            step = np.diff(s, prepend=0)
-            step[np.cumsum(count) - count] = s[np.cumsum(count) - count]
-            data = b"".join([texts[i][a:b] for i, a, b in zip(d.tolist(), s.tolist(), (s + n).tolist(), strict=True)])
-            yield int(shard[own[0]]), _pack([ids[present], marks[present], count, step, n, anchor[own], np.frombuffer(data, np.uint8)])
+            pieces = [texts[i][a:b] for i, a, b in zip(d.tolist(), s.tolist(), (s + n).tolist(), strict=True)]
+            yield int(shard[own[0]]), _row(ids, marks, d, s, pieces, anchor[own])
 
     return map_rows(docs, cut, "shard int, data binary", 16)
 
@@ -160,8 +184,9 @@ def shard_rows(docs: DataFrame, shards: int, window: int) -> DataFrame:
 class Shard:
     """The spooled rows of one shard."""
 
-    def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(max_size=8 << 20)
+    def __init__(self, level: int = 0, spool: int | None = None):
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES if spool is None else spool)
+        self.level = level
         self.at: list[tuple[int, int]] = []
 
     def add(self, data: bytes) -> None:
@@ -173,61 +198,104 @@ class Shard:
             self.file.seek(at)
             yield self.file.read(n)
 
+    def close(self) -> None:
+        self.file.close()
+
     def covered(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(id, mark, start, end) of covered intervals."""
-        total = sum(int(_unpack(r, [4])[0].sum(dtype=np.int64)) for r in self.rows())
-        slices = max(1, -(-total // SLICE_BYTES))
-        for k in range(slices):
-            yield from self._slice(k, slices, window)
-
-    def _mine(self, anchor: np.ndarray, k: int, slices: int) -> np.ndarray:
-        return (anchor * np.uint32(0x85EBCA6B) >> np.uint32(7)) % np.uint32(slices) == k
-
-    def _slice(self, k: int, slices: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        found = []
+        total = sum(int(_unpack(r, [5])[0].sum(dtype=np.int64)) for r in self.rows())
+        if total <= SLICE_BYTES or self.level == MOST_LEVELS:
+            yield from self._sorted(window)
+            return
+        files = self._split(min(MOST_FILES, -(-2 * total // SLICE_BYTES)), window)
+        while files:
+            part = files.pop()
+            if part.at:
+                yield from part.covered(window)
+            part.close()
+
+    def _split(self, n: int, window: int) -> list[Shard]:
+        """The same windows, cut by the anchors of another hash and dealt by them: equal windows meet again."""
+        files = [Shard(self.level + 1, SPOOL_BYTES // n) for _ in range(n)]
         for r in self.rows():
-            ids, count, anchor = _unpack(r, [0, 2, 5])
-            mine = self._mine(anchor, k, slices)
-            found.append((anchor[mine], np.repeat(ids, count)[mine]))
-        anchor, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        shared = _shared(anchor, ids)
-        del found, anchor, ids
-
+            ids, marks, count, step, ref, length, _, data = _unpack(r, range(8))
+            end = np.cumsum(length, dtype=np.int64)
+            raw, which, start = data.tobytes(), _which(ref), _starts(step, count)
+            doc = np.repeat(np.arange(len(ids)), count)
+            of, begin, size, anchor = segments([raw[a:b] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)], window, self.level + 1)
+            file = (anchor.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(n)
+            base = (end - length)[of] + begin
+            pieces = [raw[a:b] for a, b in zip(base.tolist(), (base + size).tolist(), strict=True)]
+            for k in np.unique(file).tolist():
+                own = np.flatnonzero(file == k)
+                first = np.searchsorted(of[own], np.arange(len(length)))
+                several = np.diff(np.append(first, len(own)))[which]  # parts of each occurrence's segment that go to this file
+                part = own[np.repeat(first[which] - (np.cumsum(several) - several), several) + np.arange(int(several.sum()))]
+                at = np.repeat(start, several) + begin[part]
+                files[k].add(_row(ids, marks, np.repeat(doc, several), at, [pieces[i] for i in part.tolist()], anchor[part]))
+        return files
+
+    def _sorted(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        shared = self._shared()
         known: dict[bytes, int] = {}
         anchor_of: list[np.ndarray] = []
-        parts = []
-        for r in self.rows():
-            ids, marks, count, step, length, anchor, data = _unpack(r, range(7))
-            start = _starts(step, count)
-            end = np.cumsum(length, dtype=np.int64)
-            own = np.flatnonzero(_among(anchor, shared) & self._mine(anchor, k, slices))
-            raw, before = data.tobytes(), len(known)
-            which = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((end - length)[own].tolist(), end[own].tolist(), strict=True)), np.int64, len(own))
-            fresh = np.full(len(known) - before, 0, np.uint32)
-            fresh[which[which >= before] - before] = anchor[own][which >= before]
-            anchor_of.append(fresh)
-            parts.append((which, np.repeat(ids, count)[own], np.repeat(marks, count)[own], start[own]))
-        if not known:
-            return
-        which, ids, marks, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        distinct = list(known)
-        del known, parts
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        smallest = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, which, ids)
-        _, group, n = np.unique(np.concatenate(anchor_of), return_inverse=True, return_counts=True)
-        several = n[group] > 1
-        # A segment alone with its anchor shares no window with another one.
-        alone = ~several[which] & (smallest[which] < ids)
-        yield ids[alone], marks[alone], start[alone], start[alone] + size[which[alone]]
-        sorted_ = np.flatnonzero(several)
-        if len(sorted_):
+        with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as occurrences:
+            parts: list[int] = []
+            for r in self.rows():
+                ids, marks, count, step, ref, length, anchor, data = _unpack(r, range(8))
+                end = np.cumsum(length, dtype=np.int64)
+                own = np.flatnonzero(_among(anchor, shared))
+                raw, before = data.tobytes(), len(known)
+                number = np.full(len(length), -1, np.int64)
+                number[own] = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((end - length)[own].tolist(), end[own].tolist(), strict=True)), np.int64, len(own))
+                fresh = own[number[own] >= before]
+                anchor_of.append(anchor[fresh])
+                which = number[_which(ref)]
+                mine = np.flatnonzero(which >= 0)
+                columns = which[mine], np.repeat(ids, count)[mine], np.repeat(marks, count)[mine].astype(np.int64), _starts(step, count)[mine]
+                for a in range(0, len(mine), OCCURRENCES):
+                    part = np.stack([c[a : a + OCCURRENCES] for c in columns])
+                    occurrences.write(part.tobytes())
+                    parts.append(part.shape[1])
+            if not known:
+                return
+
+            def read() -> Iterator[np.ndarray]:
+                occurrences.seek(0)
+                for n in parts:
+                    yield np.frombuffer(occurrences.read(32 * n), np.int64).reshape(4, n)
+
+            distinct = list(known)
+            del known
+            size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+            smallest = np.full(len(distinct), np.iinfo(np.int64).max)
+            for which, ids, _, _ in read():
+                np.minimum.at(smallest, which, ids)
+            _, group, n = np.unique(np.concatenate(anchor_of), return_inverse=True, return_counts=True)
+            several = n[group] > 1
+            sorted_ = np.flatnonzero(several)
             at = np.full(len(distinct), -1, np.int64)
-            at[sorted_] = np.cumsum(size[sorted_] + 1) - size[sorted_] - 1
-            best = _best([distinct[i] for i in sorted_.tolist()], smallest[sorted_], size[sorted_], window)
+            if len(sorted_):
+                at[sorted_] = np.cumsum(size[sorted_] + 1) - size[sorted_] - 1
+                best = _best([distinct[i] for i in sorted_.tolist()], smallest[sorted_], size[sorted_], window)
             del distinct
-            for part in np.array_split(np.flatnonzero(several[which]), max(1, len(which) // 100_000)):
-                yield _compare(best, at[which[part]], size[which[part]] - window + 1, ids[part], marks[part], start[part], window)
+            for which, ids, marks, start in read():
+                # A segment alone with its anchor shares no window with another one.
+                alone = ~several[which] & (smallest[which] < ids)
+                yield ids[alone], marks[alone], start[alone], start[alone] + size[which[alone]]
+                part = np.flatnonzero(several[which])
+                if len(part):
+                    yield _compare(best, at[which[part]], size[which[part]] - window + 1, ids[part], marks[part], start[part], window)
+
+    def _shared(self) -> np.ndarray:
+        """Anchors that two or more ids have."""
+        found = []
+        for r in self.rows():
+            ids, count, ref, anchor = _unpack(r, [0, 2, 4, 6])
+            which, ids = _which(ref), np.repeat(ids, count)
+            found.append(_least_and_most(anchor[which], ids, ids))
+        anchor, least, most = _least_and_most(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return anchor[least != most]
 
 
 def _starts(step: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -236,14 +304,12 @@ def _starts(step: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[head] - step[head], count)
 
 
-def _shared(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Anchors that two or more ids have."""
-    if not len(anchor):
-        return anchor
+def _least_and_most(anchor: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor."""
     order = np.argsort(anchor, kind="stable")
-    a, i = anchor[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    return a[first][np.minimum.reduceat(i, first) != np.maximum.reduceat(i, first)]
+    anchor = anchor[order]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    return anchor[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
 
 
 def _among(anchor: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -310,7 +376,7 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for found in shard.covered(window):
                 for i in range(0, len(found[0]), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].astype(t)) for x, t in zip(found, ("i8", "i4", "i8", "i8"), strict=True)], names=["doc_id", "mark", "start", "stop"])
-        shard.file.close()
+        shard.close()
         trim()
 
     found = dealt.mapInArrow(sort, "doc_id long, mark int, start long, stop long")

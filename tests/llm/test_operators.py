@@ -389,6 +389,49 @@ def test_repeats_odd_rows(spark, monkeypatch):
     assert repeats.report(empty_docs(spark)).count() == 0
 
 
+def _covered(texts, window):
+    """Bytes that a shard of these documents covers, two documents a batch."""
+    shard = repeats.Shard()
+    for k in range(0, len(texts), 2):
+        ids, held = np.array([i for i, _ in texts[k : k + 2]]), [t for _, t in texts[k : k + 2]]
+        doc, start, length, anchor = repeats.segments(held, window)
+        if len(doc):
+            pieces = [held[d][s : s + n] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            shard.add(repeats._row(ids, np.zeros(len(ids), np.int32), doc, start, pieces, anchor))
+    gone = {i: bytearray(len(t)) for i, t in texts}
+    for ids, _, starts, stops in shard.covered(window) if shard.at else ():
+        for i, a, b in zip(ids.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            gone[i][a:b] = b"\1" * (b - a)
+    shard.close()
+    return {i: bytes(g) for i, g in gone.items()}
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 600, 5_000, repeats.SLICE_BYTES])
+@pytest.mark.parametrize("window", [17, 50])
+def test_repeats_divide_a_hot_anchor(monkeypatch, slice_bytes, window):
+    monkeypatch.setattr(repeats, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(repeats, "OCCURRENCES", 7)
+    rng = np.random.default_rng(5)
+    grams = [bytes(rng.integers(97, 123, repeats.GRAM).astype(np.uint8)) for _ in range(3000)]
+    hot = min(grams, key=lambda g: int(repeats._hashes(np.frombuffer(g, np.uint8), 0)[0]))
+    words = [bytes(rng.integers(97, 101, 9).astype(np.uint8)) for _ in range(12)]
+    texts = []
+    for i in rng.permutation(60).tolist():
+        parts = [words[j] for j in rng.integers(0, len(words), 14).tolist()]
+        for at in (3, 7, 11):  # one anchor among many contexts
+            parts.insert(at, hot)
+        texts.append((i, b" ".join(parts)))
+    texts += [(60, texts[0][1]), (61, texts[1][1] * 2), (62, b"-" * 200), (63, b"-" * 300), (64, b""), (65, b"short")]
+    levels = []
+    split = repeats.Shard._split
+    monkeypatch.setattr(repeats.Shard, "_split", lambda self, n, window: levels.append(self.level) or split(self, n, window))
+    got = _covered(texts, window)
+    for i, n, removed, spans, _ in repeats.brute_force(texts, window):
+        assert (len(got[i]), sum(got[i]), len([x for x in got[i].split(b"\0") if x])) == (n, removed, spans)
+    assert sum(sum(g) for g in got.values()) > 1000
+    assert bool(levels) == (slice_bytes < repeats.SHARD_TEXT_BYTES) and max(levels, default=0) < repeats.MOST_LEVELS
+
+
 @pytest.mark.parametrize("memory", [200, suffix_sort.MEMORY])
 def test_suffix_order(memory):
     rng = np.random.default_rng(1)
