@@ -40,7 +40,7 @@ WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 16 << 20
 SHARD_TEXT_BYTES = 5 << 20
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 32 << 20
 PIECE = 1 << 20
 OCCURRENCES = 100_000
 #: Files that a large shard is dealt to, and how often: strings on which as many hashes agree are sorted as they are.
@@ -277,7 +277,7 @@ class Shard:
             at = np.full(len(distinct), -1, np.int64)
             if len(sorted_):
                 at[sorted_] = np.cumsum(size[sorted_] + 1) - size[sorted_] - 1
-                best = _best([distinct[i] for i in sorted_.tolist()], smallest[sorted_], size[sorted_], window)
+                values, best = _best([distinct[i] for i in sorted_.tolist()], smallest[sorted_], size[sorted_], window)
             del distinct
             for which, ids, marks, start in read():
                 # A segment alone with its anchor shares no window with another one.
@@ -285,7 +285,7 @@ class Shard:
                 yield ids[alone], marks[alone], start[alone], start[alone] + size[which[alone]]
                 part = np.flatnonzero(several[which])
                 if len(part):
-                    yield _compare(best, at[which[part]], size[which[part]] - window + 1, ids[part], marks[part], start[part], window)
+                    yield _compare(values, best, at[which[part]], size[which[part]] - window + 1, ids[part], marks[part], start[part], window)
 
     def _shared(self) -> np.ndarray:
         """Anchors that two or more ids have."""
@@ -318,10 +318,11 @@ def _among(anchor: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return shared[np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)] == anchor
 
 
-def _best(distinct: list[bytes], smallest: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
-    """At each place of the joined segments: the smallest id that has the window there."""
+def _best(distinct: list[bytes], smallest: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and, at each place of the joined segments, the number of the smallest that has the window there."""
     text = np.frombuffer(b"\xff".join(distinct) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte FF, so 0 ends a segment
-    own = np.repeat(smallest, size + 1)
+    values, rank = np.unique(smallest, return_inverse=True)
+    own = np.repeat(rank.astype(np.int32), size + 1)
     best = own.copy()
     open_ = np.zeros(0, np.int64)
 
@@ -341,13 +342,13 @@ def _best(distinct: list[bytes], smallest: np.ndarray, size: np.ndarray, window:
         open_ = pos[new[-1] :]
     if len(open_):
         close(open_, np.zeros(1, np.int64))
-    return best
+    return values, best
 
 
-def _compare(best: np.ndarray, at: np.ndarray, windows: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _compare(values: np.ndarray, best: np.ndarray, at: np.ndarray, windows: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     head = np.cumsum(windows) - windows
     offset = np.arange(int(windows.sum())) - np.repeat(head, windows)
-    hit = best[np.repeat(at, windows) + offset] < np.repeat(ids, windows)
+    hit = values[best[np.repeat(at, windows) + offset]] < np.repeat(ids, windows)
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begin = hit & ((edge[:-1] == 1) | (offset == 0))
     follows = np.append(offset[1:] == 0, True)
