@@ -153,7 +153,17 @@ def _folded(rows: DataFrame, label) -> DataFrame:
 
 def _memo_in_order(rows: DataFrame) -> DataFrame:
     kind = rows.schema["cand_id"].dataType.simpleString()
-    own = rows.select("run", "type", "pos", "cand_id", "norm", "creates", F.when(F.col("own") == "canonical_new", norm_title(F.col("canonical_title"))).alias("second"))
+    rows = rows.withColumn("second", F.when(F.col("own") == "canonical_new", F.nullif(norm_title(F.col("canonical_title")), F.lit(""))))
+    # Only a candidate with two different keys ties one key's owner to another's; all other keys are settled by a window, in
+    # which such a candidate also stands, beside, under its second key.
+    two = F.col("second").isNotNull() & (F.col("second") != F.col("norm"))
+    under = lambda key, beside: F.struct(F.col(key).alias("key"), F.lit(beside).alias("beside"))
+    rows = rows.withColumn("entry", F.explode(F.when(two, F.array(under("norm", False), under("second", True))).otherwise(F.array(under("norm", False)))))
+    alone = F.when(F.col("entry.key") == "", F.col("cand_id").cast("string"))
+    key = Window.partitionBy("run", "type", "entry.key", alone)
+    first = F.first(F.when(F.col("creates") & ~F.col("entry.beside"), F.col("cand_id")), ignorenulls=True).over(key.orderBy("pos", "cand_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"tied": F.max(two).over(key), "prior": F.when(F.col("norm") != "", first)}).filter("not entry.beside").drop("entry")
+    own = rows.filter("tied").select("run", "type", "pos", "cand_id", "norm", "creates", "second")
 
     def settle(pdf):
         owner: dict[str, object] = {}
@@ -173,7 +183,8 @@ def _memo_in_order(rows: DataFrame) -> DataFrame:
         return out[out["same_run_id"].notna()]
 
     found = own.groupBy("run", "type").applyInPandas(settle, f"cand_id {kind}, same_run_id {kind}, how string")
-    return _folded(rows.join(found, "cand_id", "left"), F.col("how")).drop("how")
+    rows = rows.join(found, "cand_id", "left").withColumns({"same_run_id": F.when(F.col("tied"), F.col("same_run_id")).otherwise(F.col("prior")), "how": F.when(F.col("tied"), F.col("how")).otherwise("same_run")})
+    return _folded(rows, F.col("how")).drop("how", "second", "tied", "prior")
 
 
 def branch_label(branch: Column) -> Column:

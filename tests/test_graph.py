@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import numbers
+import random
 
 import duckdb
 import pandas as pd
@@ -94,6 +95,32 @@ def test_memo_matches_a_sequential_run(spark):
     assert {r["cand_id"]: r["same_run_id"] for r in resolve.memo(two).collect()} == expected
 
 
+def test_memo_with_two_keys_matches_a_sequential_run(spark):
+    pick = random.Random(4)
+    names = ["", *(f"k{i}" for i in range(25))]
+    rows = []
+    for run in range(8):
+        for pos in range(40):
+            own = pick.choice(["new", "merge", "canonical_new", "adjudicated_same"])
+            title = pick.choice([None, *names]) if own == "canonical_new" else None
+            rows.append((run, pos, f"c{run}-{pos}", pick.choice(names), pick.choice(["t", "u"]), own, own == "canonical_new" or own == "new" or pick.random() < 0.3, title))
+    df = spark.createDataFrame(rows, "run int, pos int, cand_id string, norm string, type string, own string, creates boolean, canonical_title string")
+    expected, owner = {}, {}
+    for run, _, cand, norm, kind, own, creates, title in rows:
+        second = title if own == "canonical_new" else None
+        first = owner.get((run, kind, norm)) if norm else None
+        branch = "same_run" if first else own
+        if first is None and second and (first := owner.get((run, kind, second))):
+            branch = "same_run_canonical"
+        if first is None and creates:
+            for key in filter(None, (norm, second)):
+                owner[run, kind, key] = cand
+        expected[cand] = (first, branch, creates and first is None)
+    got = resolve.memo(df).collect()
+    assert {r["cand_id"]: (r["same_run_id"], r["branch"], r["creates"]) for r in got} == expected and len(got) == len(rows)
+    assert {b for _, b, _ in expected.values()} >= {"same_run", "same_run_canonical"}
+
+
 def test_context_is_cut_and_says_so():
     nodes = [{"type": "t", "title": "x" * n, "id": str(i), "summary": None} for i, n in enumerate((10, 900, 20))]
     text = read.context_text(nodes, [{"source_id": "0", "target_id": "9", "type": "affects"}], 600)
