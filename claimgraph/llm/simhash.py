@@ -23,7 +23,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -40,19 +40,24 @@ PER_TASK = 8_000_000
 MOST_LEADING = 20
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Of one text in UTF-8."""
+def shingle_hashes(text: bytes, words_per_shingle: int, seed: int = 42) -> np.ndarray:
+    """Of one text in UTF-8, in order and with repeats."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(words_per_shingle, len(words))
     starts = np.concatenate([[0], ends[: len(words) - k] + 1]).tolist()
     shingles = [joined[a:b] for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Of one text in UTF-8."""
+    return majority(shingle_hashes(text, words_per_shingle, seed))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -78,7 +83,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 # Variants.
 
 
-def _reach(fps: np.ndarray, left: np.ndarray, bit: int, value: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reach(fps: np.ndarray, left: np.ndarray, bit: int, value: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which can have ``value`` at ``bit`` (from the top), flipping it at need: their index, bits and flips left."""
     mask = np.uint64(1 << (63 - bit))
     same = ((fps & mask) != 0) == bool(value)
@@ -87,13 +92,13 @@ def _reach(fps: np.ndarray, left: np.ndarray, bit: int, value: int) -> tuple[np.
     return i, out, left[i] - ~same[i]
 
 
-def _choose(n: int, k: int) -> int:
+def choose(n: int, k: int) -> int:
     return [1, 1 + n, 1 + n + n * (n - 1) // 2][k]
 
 
-def _variants(fps: np.ndarray, left: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All values that flips of the bits from ``bit`` on reach: value, which, flips left."""
-    free = np.uint64(1) << np.arange(64 - bit, dtype=np.uint64)
+def variants(fps: np.ndarray, left: np.ndarray, bit: int, low: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values that flips of the bits from ``bit`` on, save the last ``low``, reach: value, which, flips left."""
+    free = np.uint64(1) << np.arange(low, 64 - bit, dtype=np.uint64)
     who = np.arange(len(fps))
     values, which, rest = [fps], [who], [left]
     one = np.flatnonzero(left >= 1)
@@ -129,15 +134,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links_of(fps: np.ndarray, left: np.ndarray, original: np.ndarray, bit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among the fingerprints that meet below one leading value; ``original`` are they before any flip."""
-    most = sum(int((left == k).sum()) * _choose(64 - bit, k) for k in range(3))
+    most = sum(int((left == k).sum()) * choose(64 - bit, k) for k in range(3))
     if len(fps) < 2:
         return
     if most > SLICE and bit < 64:
         for value in (0, 1):
-            i, out, rest = _reach(fps, left, bit, value)
+            i, out, rest = reach(fps, left, bit, value)
             yield from links_of(out, rest, original[i], bit + 1)
         return
-    values, which, rest = _variants(fps, left, bit)
+    values, which, rest = variants(fps, left, bit)
     # Flips used; an even fingerprint starts with one flip, an odd one with two.
     odd = np.bitwise_count(original).astype(np.int64) & 1
     used = (1 + odd[which]) - rest
@@ -169,7 +174,7 @@ def links(fps: DataFrame) -> DataFrame:
             original = batch.column("fp").to_numpy().view(np.uint64)
             state = [(original, 1 + (np.bitwise_count(original).astype(np.int64) & 1), np.arange(len(original)))]
             for bit in range(leading):
-                split = [_reach(f, k, bit, value) + (i,) for f, k, i in state for value in (0, 1)]
+                split = [reach(f, k, bit, value) + (i,) for f, k, i in state for value in (0, 1)]
                 state = [(out, rest, i[j]) for j, out, rest, i in split]
             for out, rest, i in state:
                 if len(i):
@@ -208,10 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def group(prints: DataFrame) -> DataFrame:
+def group(prints: DataFrame, links_of_nodes: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of a written table: the least id reachable."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    edges = written(links(nodes), "simhash-links")
+    edges = written(links_of_nodes(nodes), "simhash-links")
     of = components(edges)
     labelled = nodes.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labelled = written(labelled, "simhash-components")
@@ -230,10 +235,10 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 BROADCAST_KEYS = 200_000
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prints_of: Callable[..., DataFrame] = fingerprints, links_of_nodes: Callable[[DataFrame], DataFrame] = links, **options) -> DataFrame:
     """The rows of ``docs`` without all but one of each group: the one with the least id, of rows with that id any one."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, **options), "simhash-keys")
-    groups = group(prints.select("doc_id", "fp"))
+    prints = written(prints_of(docs, id_col=id_col, text_col=text_col, **options), "simhash-keys")
+    groups = group(prints.select("doc_id", "fp"), links_of_nodes)
     rows = prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows.join(groups, "fp"), "simhash-rows")
     # Of the rows with the representative's id, one text's; null ids stand for a group only if it has no others.

@@ -5,7 +5,7 @@ next stage's ``docs``.  All but the last return the columns of documents: stages
 in place.
 
 * ``quality`` drops texts that fail the count rules or the calibrated classifier.
-* ``near_duplicates`` keeps one document of each SimHash group.
+* ``near_duplicates`` keeps one document of each SimHash group: five-word shingles, a similarity of about 0.8 or more.
 * ``decontamination`` drops texts that hold a window of the benchmark.
 * ``secrets`` replaces every secret by a mark and keeps the document.
 * ``packing`` places the pieces of all that is left in sequences.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontaminate, packing, quality, secrets, simhash
+from claimgraph.llm import decontaminate, near_copies, packing, quality, secrets
 from claimgraph.llm.common import delete, owned, shared_dir
 
 
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

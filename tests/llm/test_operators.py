@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from claimgraph.llm import chat, decontaminate, entry, packing, quality, repeats, secrets, simhash, suffix_sort, token_files, toxicity, warc
+from claimgraph.llm import chat, decontaminate, entry, near_copies, packing, quality, repeats, secrets, simhash, suffix_sort, token_files, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, DOC_ID2 string, n_words string, fingerprint string"
@@ -465,7 +465,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def linked(fps):
+def linked(fps, radius=3):
     """Component labels by comparing all pairs."""
     parent = list(range(len(fps)))
 
@@ -475,7 +475,7 @@ def linked(fps):
         return x
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
+        if (fps[i] ^ fps[j]).bit_count() <= radius:
             parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(fps))]
 
@@ -532,6 +532,69 @@ def test_ball_hashing_finds_all_links(spark, slice_, monkeypatch):
     assert {r["fp"]: r["component_id"] for r in simhash.group(df).collect()} == expected
 
 
+def wide_fingerprint(text):
+    """160 bits by a plain loop over the distinct five-word shingles."""
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    ones = [0] * 160
+    for h in {xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}:
+        wide, full = 0, (1 << 64) - 1
+        for _ in range(3):
+            wide = wide << 64 | h
+            h = (h + 0x9E3779B97F4A7C15) & full
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & full
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) & full
+            h ^= h >> 31
+        for b in range(160):
+            ones[b] += wide >> (191 - b) & 1
+    return sum(1 << (159 - b) for b in range(160) if 2 * ones[b] > len(grams))
+
+
+def near_expected(docs):
+    """(id, component) of each text."""
+    prints = {t: wide_fingerprint(t) for t in {t for _, t in docs}}
+    label = linked([prints[t] for _, t in docs], 24)
+    least = {c: min((i for (i, _), d in zip(docs, label, strict=True) if c == d and i is not None), default=None) for c in set(label)}
+    return [(i, least[c]) for (i, _), c in zip(docs, label, strict=True)]
+
+
+def near_texts():
+    """Texts with a chain and a crowd of edited copies, which differ in 1 to 60 of 200 words."""
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{rng.integers(5000)}"
+    texts = []
+    for size, edits in ((40, 2), (12, 8), (6, 20), (6, 60), (30, None)):
+        base = [word() for _ in range(200)]
+        for n in range(size):
+            copy = list(base) if edits else base
+            for at in rng.choice(200, edits or 3, replace=False):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    return list(enumerate(texts)) + [(1000 + i, " ".join(word() for _ in range(3 + i))) for i in range(40)]
+
+
+@pytest.mark.parametrize(("slice_", "small", "per_task"), [(2_000_000, 8, 64_000_000), (3_000, 2, 10_000)])
+def test_near_copies(spark, slice_, small, per_task, monkeypatch):
+    for name, value in (("SLICE", slice_), ("SMALL", small), ("PER_TASK", per_task), ("BLOCK", 64 if small == 2 else 1 << 20)):
+        monkeypatch.setattr(near_copies, name, value)
+    texts = near_texts()
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in texts], DOC)
+    expected = near_expected(texts)
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c in expected}
+    of = dict(expected)
+    assert len({of[i] for i in range(40)}) == 1 and sum(of[i] == i for i in range(1000, 1040)) == 40
+
+
+def test_near_copies_odd_rows(spark):
+    df, texts = odd_docs(spark)
+    assert [near_copies.fingerprint((t or "").encode()).hex() for _, t in texts] == [f"{wide_fingerprint(t):040x}" for _, t in texts]
+    expected = Counter({c: 1 for _, c in near_expected(texts)})
+    assert Counter(r["doc_id"] for r in near_copies.keep_one(df).collect()) == expected
+    assert near_copies.keep_one(empty_docs(spark)).count() == 0
+
+
 # 8
 
 

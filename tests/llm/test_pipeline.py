@@ -6,7 +6,7 @@ import corpus_pipeline
 from claimgraph.llm import entry, quality
 from claimgraph.llm.common import owned
 
-from .test_operators import SF, contamination_expected, secret_spans, simhash_expected
+from .test_operators import SF, contamination_expected, near_expected, secret_spans
 
 
 def redacted(text):
@@ -35,7 +35,7 @@ def test_stages(spark, tmp_path):
         if name == "quality":
             rows = {i: r for i, r in rows.items() if quality.judge((r["text"] or "").encode(), model)[2]}
         elif name == "near_duplicates":
-            keep = {c for _, _, c in simhash_expected([(i, r["text"]) for i, r in rows.items()])}
+            keep = {c for _, c in near_expected([(i, r["text"]) for i, r in rows.items()])}
             rows = {i: r for i, r in rows.items() if i in keep}
         elif name == "decontamination":
             bad = {e[0] for e in contamination_expected([(i, r["text"]) for i, r in rows.items()], items) if e[5]}
