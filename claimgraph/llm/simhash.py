@@ -38,6 +38,8 @@ SLICE = 2_000_000
 #: Variants that a task should expect; it sets the number of leading bits.
 PER_TASK = 8_000_000
 MOST_LEADING = 20
+#: Tasks that share one component.
+SALTS = 32
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int, seed: int = 42) -> np.ndarray:
@@ -218,10 +220,14 @@ def group(prints: DataFrame, links_of_nodes: Callable[[DataFrame], DataFrame] =
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     edges = written(links_of_nodes(nodes), "simhash-links")
     of = components(edges)
-    labelled = nodes.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    labelled = written(labelled, "simhash-components")
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return written(labelled.join(ids, "component").select("fp", "component_id"), "simhash-groups")
+    linked = written(nodes.join(of.withColumnRenamed("node", "fp"), "fp"), "simhash-components")
+    # A component may hold a third of all fingerprints: its id goes to SALTS places, and a fingerprint to one of them.
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = linked.select("*", salt).join(ids, ["component", "salt"]).select("fp", "component_id")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return written(named.unionByName(alone), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
