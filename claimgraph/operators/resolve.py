@@ -37,14 +37,18 @@ def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cand_id, node_id): the earliest node with a surface that shares enough words, but not the key.
 
     Two word sets that share four fifths of the larger one share a word among the rarest few of each, so only those
-    words are joined on and common words gather no pairs.
+    words are joined on and common words gather no pairs.  Keys that differ in repeated words only have equal word lists;
+    there the earliest node of a list and the earliest under another key answer for all keys.
     """
     words = lambda c: F.array_distinct(title_tokens(c))
     key = [*SCOPE, "type", "words"]
     # Word lists that many share count once, with the earliest of their nodes.
-    asked = candidates.select("cand_id", *SCOPE, "type", words(F.col("title")).alias("words")).filter(F.size("words") > 0)
+    asked = candidates.select("cand_id", *SCOPE, "type", norm_title(F.col("title")).alias("norm"), words(F.col("title")).alias("words")).filter(F.size("words") > 0)
     a = asked.select(*key).distinct().select(*key, F.lit(True).alias("mine"), F.lit(None).cast(nodes.schema["created_at"].dataType).alias("created_at"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id"))
-    b = surfaces(nodes, "node_id", "created_at").withColumn("words", words(F.col("surface"))).groupBy(*key).agg(F.min(F.struct("created_at", "node_id")).alias("e"))
+    keyed = surfaces(nodes, "node_id", "created_at").withColumn("words", words(F.col("surface"))).groupBy(*key, "norm").agg(F.min(F.struct("created_at", "node_id")).alias("e"))
+    k = F.row_number().over(Window.partitionBy(*key).orderBy("e", "norm"))
+    nth = lambda n, c: F.max(F.when(F.col("k") == n, F.col(c)))
+    b = keyed.withColumn("k", k).filter("k <= 2").groupBy(*key).agg(nth(1, "e").alias("e"), nth(1, "norm").alias("e_norm"), nth(2, "e").alias("other"))
     both = a.unionByName(b.select(*key, F.lit(False).alias("mine"), "e.created_at", "e.node_id"))
     tokens = both.select("*", F.explode("words").alias("word"))
     often = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -54,8 +58,10 @@ def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     right = rare.filter("not mine").select(*SCOPE, "type", "word", "node_id", "created_at", F.col("words").alias("y"))
     share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
     met = left.join(right, [*SCOPE, "type", "word"]).filter((share >= OVERLAP) & (F.col("x") != F.col("y")))
-    best = met.groupBy(*SCOPE, "type", F.col("x").alias("words")).agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
-    return asked.join(best, key).select("cand_id", "node_id")
+    best = met.groupBy(*SCOPE, "type", F.col("x").alias("words")).agg(F.min(F.struct("created_at", "node_id")).alias("near"))
+    repeated = F.when(F.col("e_norm") != F.col("norm"), F.col("e")).otherwise(F.col("other"))
+    found = asked.join(best, key, "left").join(b, key, "left").withColumn("found", F.least("near", repeated))
+    return found.filter("found is not null").select("cand_id", F.col("found.node_id").alias("node_id"))
 
 
 def nearest_nodes(candidates: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:

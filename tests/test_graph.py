@@ -81,6 +81,47 @@ def test_gate(spark):
         oplog.applied(spark.createDataFrame([("OTHER", "agent")], "op string, actor_kind string"), F.lit(True)).collect()
 
 
+def test_fuzzy_titles_with_repeated_words_match_brute_force(spark):
+    pick = random.Random(6)
+    title = lambda: " ".join(pick.choice(["Ash", "ash,", "birch", "cedar", "dill", "The"]) for _ in range(pick.randint(0, 7)))
+    scope = lambda: ("a", pick.choice("gh"), "k", pick.choice("tu"))
+    nodes = [(n, *scope(), title(), pick.choice([None, [], [title()], [title(), None, "Ash ash"]]), n * 7 % 30) for n in range(120)]
+    nodes += [(200, "a", "g", "k", "t", "elm elm", None, 9), (201, "a", "g", "k", "t", "elm", None, 5), (202, "a", "g", "k", "t", "elm", ["elm Elm"], 2), (203, "a", "g", "k", "t", "elm elm elm", None, 1)]
+    cands = [(c, *scope(), title(), None, None) for c in range(150)] + [(300 + i, "a", "g", "k", "t", " ".join(["elm"] * i), None, None) for i in range(1, 5)]
+    shape = "tenant_id string, graph_id string, kind string, type string, title string, aliases array<string>, created_at long"
+    got = resolve.title_fuzzy(spark.createDataFrame(cands, f"cand_id long, {shape}"), spark.createDataFrame(nodes, f"node_id long, {shape}")).collect()
+    words = lambda t: [w for w in (t or "").lower().replace(",", " ").split() if w != "the"]
+    expected = {}
+    for c, *where, asked, _, _ in cands:
+        a = words(asked)
+        near = [(at, n) for n, *there, name, more, at in nodes for b in map(words, [name, *(more or [])]) if where == there and a and b and a != b and 5 * len(set(a) & set(b)) >= 4 * max(len(set(a)), len(set(b)))]
+        expected |= {c: min(near)[1]} if near else {}
+    assert {r["cand_id"]: r["node_id"] for r in got} == expected and len(got) == len(expected)
+    assert [expected[300 + i] for i in range(1, 5)] == [203, 203, 202, 203]
+
+
+@pytest.fixture(scope="module")
+def stuttering(tmp_path_factory):
+    """Tables whose titles repeat few words, with no vectors to go by."""
+    pick, folder = random.Random(7), tmp_path_factory.mktemp("stuttering")
+    texts = [" ".join(pick.choice("ash birch cedar dill elm fir".split()) for _ in range(pick.randint(1, 8))) for _ in range(2000)]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "web", "n_chars": [len(t) for t in texts]}).to_parquet(folder / "documents.parquet")
+    pd.DataFrame({"vec_id": [-1], "embedding": [[1.0, 0.0]]}).to_parquet(folder / "embeddings.parquet")
+    con = duckdb.connect()
+    for t in TABLES:
+        if t not in ("documents", "embeddings"):
+            (folder / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["title_fuzzy"])
+def test_repeated_words_equal_sql(spark, stuttering, name):
+    folder, con = stuttering
+    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(oracle.all_queries()[name]).df()
+    assert plain(got) == plain(want) and len(got)
+
+
 def test_memo_matches_a_sequential_run(spark):
     rows = [(r, p, f"c{r}-{p}", ["", "alpha", "beta"][p % 3], "t", "new" if (p * 7 + r) % 3 else "merge") for r in range(3) for p in range(30)]
     df = spark.createDataFrame(rows, "run int, pos int, cand_id string, norm string, type string, own string").withColumn("creates", F.col("own") == "new")
