@@ -115,7 +115,7 @@ def stuttering(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["title_fuzzy", "resolve_branches", "adjudicate_ops", "edge_resolve"])
+@pytest.mark.parametrize("name", ["title_fuzzy", "resolve_branches", "adjudicate_ops", "edge_resolve", "canonical_ops"])
 def test_repeated_words_equal_sql(spark, stuttering, name):
     folder, con = stuttering
     got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(oracle.all_queries()[name]).df()
