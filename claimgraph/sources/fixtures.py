@@ -30,8 +30,13 @@ class Fixtures:
         return F.when(i % 2 == 0, "acme").otherwise("globex")
 
     @staticmethod
-    def graph(i):
-        return F.when(F.floor(i / 2) % 10 == 9, "aux").otherwise("main")
+    def div(i, by: int):
+        """The whole quotient, in integers, as doubles do not tell large ids apart."""
+        return F.call_function("div", i, F.lit(by))
+
+    @classmethod
+    def graph(cls, i):
+        return F.when(cls.div(i, 2) % 10 == 9, "aux").otherwise("main")
 
     def sources(self) -> DataFrame:
         labels = self.table("labels").select("doc_id", "quality")
@@ -46,7 +51,7 @@ class Fixtures:
         status = F.when(i % 17 == 0, "rejected").when(i % 13 == 0, "superseded").otherwise("active")
         none = F.array().cast("array<string>")
         out = d.select(
-            i.alias("node_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), kind.alias("type"), F.split_part(kind, F.lit("/"), F.lit(1)).alias("kind"),
+            i.alias("node_id"), self.tenant(i).alias("tenant_id"), self.graph(i).alias("graph_id"), kind.alias("type"), F.when(i % 3 == 2, "knowledge").otherwise("entity").alias("kind"),
             F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.concat_ws("/", "lang", "source").alias("summary"), F.when(i % 11 == 0, F.array(F.concat(F.lit("folded "), "lang"))).otherwise(none).alias("summaries"), F.when(i % 7 == 0, F.array(F.array_join(F.slice(words, 1, 2), " "))).otherwise(none).alias("aliases"),
             status.alias("status"), F.when(i % 17 == 0, F.lit(EPOCH)).alias("deleted_at"), ((i % 10) / 10).alias("confidence"), F.array(i, (i + 2) % n, i).alias("citations"),
             (EPOCH + i * 60).alias("created_at"), (EPOCH + i * 60 + (i * 7919 % 1000) * 60).alias("updated_at"),
@@ -57,7 +62,7 @@ class Fixtures:
 
     def candidates(self) -> DataFrame:
         i = F.col("node_id")
-        return self.nodes().filter(i % 5 == 0).withColumns({"cand_id": i, "run": F.floor(i / 100), "pos": i})
+        return self.nodes().filter(i % 5 == 0).withColumns({"cand_id": i, "run": self.div(i, 100), "pos": i})
 
     def graph_nodes(self) -> DataFrame:
         return self.nodes().filter((F.col("node_id") % 5 != 0) & (F.col("status") == "active"))

@@ -122,6 +122,28 @@ def test_repeated_words_equal_sql(spark, stuttering, name):
     assert plain(got) == plain(want) and len(got)
 
 
+@pytest.fixture(scope="module")
+def far_ids(tmp_path_factory):
+    """Tables whose ids lie below zero, around it, and beyond the whole numbers that doubles hold."""
+    source, folder = "/root/testdata/sf0.01", tmp_path_factory.mktemp("far_ids")
+    con = duckdb.connect()
+    for t in TABLES:
+        key = {"documents": "doc_id", "embeddings": "vec_id"}.get(t)
+        if key:
+            con.execute(f"copy (select * replace (CASE WHEN {key} < 350 THEN {key} - 150 ELSE {key} + {2**53} END AS {key}) from '{source}/{t}.parquet') to '{folder}/{t}.parquet' (format parquet)")
+        else:
+            (folder / f"{t}.parquet").symlink_to(f"{source}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["adjudicate_ops"])
+def test_far_ids_equal_sql(spark, far_ids, name):
+    folder, con = far_ids
+    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(oracle.all_queries()[name]).df()
+    assert plain(got) == plain(want) and len(got)
+
+
 def test_memo_matches_a_sequential_run(spark):
     rows = [(r, p, f"c{r}-{p}", ["", "alpha", "beta"][p % 3], "t", "new" if (p * 7 + r) % 3 else "merge") for r in range(3) for p in range(30)]
     df = spark.createDataFrame(rows, "run int, pos int, cand_id string, norm string, type string, own string").withColumn("creates", F.col("own") == "new")
