@@ -242,10 +242,10 @@ def adjudicate_ops(x: Fixtures) -> DataFrame:
 @query
 def canonical_ops(x: Fixtures) -> DataFrame:
     # Candidates of entity types with a host entity: every third exists as the node two below, the others have none.
-    i = F.col("node_id")
-    host = x.nodes(False).filter((i % 5 == 0) & (F.col("kind") == "entity") & (F.floor(i / 5) % 4 == 1))
-    known = F.floor(i / 5) % 3 == 0
-    titled = F.when(known & (F.floor(i / 5) % 2 == 0), F.col("title")).otherwise(F.concat(F.lit("host "), F.col("kind"), F.lit(" "), (F.floor(i / 5) % 7).cast("string")))
+    i, fifth = F.col("node_id"), x.div(F.col("node_id"), 5)
+    host = x.nodes(False).filter((i % 5 == 0) & (F.col("kind") == "entity") & (fifth % 4 == 1))
+    known = fifth % 3 == 0
+    titled = F.when(known & (fifth % 2 == 0), F.col("title")).otherwise(F.concat(F.lit("host "), F.col("kind"), F.lit(" "), (fifth % 7).cast("string")))
     canonical = host.select(i.alias("cand_id"), F.when(known, i + 2).alias("canonical_node_id"), titled.alias("canonical_title"))
     got = resolve.ladder(x.candidates(), x.graph_nodes(), merge=MERGE, related=RELATED, canonical=canonical, verdicts=_verdicts(x))
     return got.filter("canonical_title is not null").select("cand_id", "branch", "decision", "target_id", "same_run_id", "creates")
