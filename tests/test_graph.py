@@ -137,7 +137,7 @@ def far_ids(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["adjudicate_ops", "canonical_ops", "edge_resolve"])
+@pytest.mark.parametrize("name", ["adjudicate_ops", "canonical_ops", "edge_resolve", "resolve_branches"])
 def test_far_ids_equal_sql(spark, far_ids, name):
     folder, con = far_ids
     got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(oracle.all_queries()[name]).df()
