@@ -12,8 +12,8 @@ OVERLAP = 0.8
 
 
 def title_tokens(title: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, without stopwords."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "), " ")
+    """Lower-cased runs of ASCII letters and digits, without stopwords.  A capital I with a dot is an i, as in the SQL."""
+    parts = F.split(F.regexp_replace(F.lower(F.translate(F.coalesce(title, F.lit("")), "\u0130", "i")), "[^a-z0-9]+", " "), " ")
     return F.filter(parts, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 

@@ -26,11 +26,16 @@ def surfaces(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
 
 
 def title_exact(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cand_id, node_id): the earliest node of the type with the candidate's key among its titles and aliases."""
+    """(cand_id, node_id): the earliest node of the type with the candidate's key among its titles and aliases, once for
+    candidates of equal id."""
     keyed = candidates.select(*SCOPE, "type", "cand_id", norm_title(F.col("title")).alias("norm")).filter("norm <> ''")
     key = [*SCOPE, "type", "norm"]
-    earliest = surfaces(nodes, "node_id", "created_at").groupBy(*key).agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
-    return keyed.join(earliest, key).select("cand_id", "node_id")
+    earliest = surfaces(nodes, "node_id", "created_at").groupBy(*key).agg(F.min(F.struct("created_at", "node_id")).alias("found"))
+    return _once(keyed.join(earliest, key))
+
+
+def _once(found: DataFrame) -> DataFrame:
+    return found.groupBy("cand_id").agg(F.min("found").alias("found")).select("cand_id", F.col("found.node_id").alias("node_id"))
 
 
 def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def title_fuzzy(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     best = met.groupBy(*SCOPE, "type", F.col("x").alias("words")).agg(F.min(F.struct("created_at", "node_id")).alias("near"))
     repeated = F.when(F.col("e_norm") != F.col("norm"), F.col("e")).otherwise(F.col("other"))
     found = asked.join(best, key, "left").join(b, key, "left").withColumn("found", F.least("near", repeated))
-    return found.filter("found is not null").select("cand_id", F.col("found.node_id").alias("node_id"))
+    return _once(found.filter("found is not null"))
 
 
 def nearest_nodes(candidates: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:

@@ -221,7 +221,7 @@ def title_fuzzy(x: Fixtures) -> DataFrame:
 def _verdicts(x: Fixtures) -> DataFrame:
     i = F.col("node_id")
     verdict = F.when(i % 20 == 0, "duplicate").when(i % 20 == 5, "supersedes").when(i % 20 == 10, "contradicts").otherwise("distinct")
-    return x.nodes(False).filter(i % 5 == 0).select(i.alias("cand_id"), verdict.alias("verdict"))
+    return x.nodes(False).filter(i % 5 == 0).select(i.alias("cand_id"), verdict.alias("verdict")).distinct()
 
 
 def _resolved(x: Fixtures) -> DataFrame:

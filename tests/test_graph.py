@@ -10,6 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 from claimgraph.api import Graph
+from claimgraph.functions.text import norm_title
 from claimgraph.operators import chunk, effects, extract, oplog, read, resolve
 from claimgraph.plans import catalog, oracle
 from claimgraph.sources.schema import ConcurrentModification, EmbeddingUnavailable, GraphError, ScopeViolation, Settings
@@ -144,6 +145,39 @@ def test_far_ids_equal_sql(spark, far_ids, name):
     assert plain(got) == plain(want) and len(got)
 
 
+def altered(tmp_path_factory, name, **change):
+    """A folder with the tables of sf0.01, and DuckDB's views of them; ``change`` maps a table's name to its new rows."""
+    source, folder, con = "/root/testdata/sf0.01", tmp_path_factory.mktemp(name), duckdb.connect()
+    for t in TABLES:
+        if t in change:
+            con.execute(f"copy ({change[t].format(f"'{source}/{t}.parquet'")}) to '{folder}/{t}.parquet' (format parquet)")
+        else:
+            (folder / f"{t}.parquet").symlink_to(f"{source}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.fixture(scope="module")
+def repeated_ids(tmp_path_factory):
+    """Some ids stand twice, with the same or another text, and some titles have a capital I with a dot."""
+    dotted = "select * replace (CASE WHEN doc_id % 3 = 0 THEN 'İ' || text ELSE text END AS text) from {0}"
+    twice = f"{dotted} union all {dotted} where doc_id % 25 in (5, 7, 10) union all select a.* replace (b.text as text) from {{0}} a join {{0}} b on b.doc_id = a.doc_id + 10 where a.doc_id % 25 in (2, 15)"
+    return altered(tmp_path_factory, "repeated_ids", documents=twice)
+
+
+@pytest.mark.parametrize("name", ["title_exact", "title_fuzzy", "resolve_branches", "edge_resolve"])
+def test_repeated_ids_equal_sql(spark, repeated_ids, name):
+    folder, con = repeated_ids
+    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(oracle.all_queries()[name]).df()
+    assert plain(got) == plain(want) and len(got)
+
+
+def test_dotted_capital_i_has_the_key_of_the_sql(spark):
+    title = "İstanbul FERİ K\u0130\u212a"
+    want = duckdb.connect().execute(f"select {oracle.norm('t')} from (select '{title}' t)").fetchone()[0]
+    assert spark.range(1).select(norm_title(F.lit(title))).first()[0] == want
+
+
 def test_memo_matches_a_sequential_run(spark):
     rows = [(r, p, f"c{r}-{p}", ["", "alpha", "beta"][p % 3], "t", "new" if (p * 7 + r) % 3 else "merge") for r in range(3) for p in range(30)]
     df = spark.createDataFrame(rows, "run int, pos int, cand_id string, norm string, type string, own string").withColumn("creates", F.col("own") == "new")
