@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_schema, as_bytes, id_text, row_key, tune
+from .common import arrow_schema, as_bytes, id_text, row_key, trim, tune
 
 WORDS = 5
 PARTS, PART_BITS = 5, 32
 HALF = 2
 RADIUS = PARTS * (2 * HALF + 1) - 1
-SLICE = 2_000_000
+#: Variants made and sorted at once; an executor runs several such tasks beside its heap.
+SLICE = 500_000
 PER_TASK = 64_000_000
 #: Groups of more members are worked on one by one.
 SMALL = 8
@@ -77,6 +78,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in it:
             fps = pa.array([fingerprint(t, words, seed).hex() for t in as_bytes(batch, "text")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), fps], names=["key", "doc_id", "fp"])
+        trim()
 
     return keyed.mapInArrow(run, "key string, doc_id long, fp string")
 
@@ -185,6 +187,7 @@ def links(nodes: DataFrame) -> DataFrame:
             for a, b in links_of(prints, values.astype(np.uint64) << np.uint64(64 - PART_BITS), left[who].astype(np.int64), who, leading):
                 x, y = (pa.array([raw[i * width : (i + 1) * width].tobytes().hex() for i in side.tolist()], pa.string()) for side in (a, b))
                 yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+        trim()
 
     met = dealt.mapInArrow(meet, "a string, b string")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -862,3 +862,17 @@ def test_quality_odd_rows(spark):
     kept = quality.keep(df, model)
     assert kept.columns == df.columns and kept.count() <= sum(not quality_expected(*d)[6] for d in texts)
     assert quality.assess(empty_docs(spark), model).count() == 0 and quality.fit([]) is None
+
+
+def test_near_copies_meet_in_bounded_memory():
+    """Fingerprints of one task with 2.6 million variants: an executor has several such tasks beside its heap."""
+    import tracemalloc
+
+    raw = np.random.default_rng(5).integers(0, 256, 5000 * 20, dtype=np.uint8)
+    prints = near_copies._parts(raw)
+    values, left, who = prints[:, 0].astype(np.uint64) << np.uint64(32), np.full(5000, 2), np.arange(5000)
+    tracemalloc.start()
+    assert not list(near_copies.links_of(prints, values, left, who, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
