@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, map_rows, opened, published, shared_dir, tune, written
+from .common import id_text, map_rows, opened, published, shared_dir, tune, written
 from .tokens import encoder
 
 MAGIC = b"CGTOKEF2"
@@ -191,9 +191,9 @@ def write_files(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
         own = encoder(tokenizer)
         end = np.array([end_id], own.dtype).tobytes()
         for batch in it:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all(batch.column("text")), strict=True):
                 part = 0 if doc_id is None else int(np.searchsorted(cuts, doc_id, "right"))
-                yield part, doc_id, own.encode(text) + end
+                yield part, doc_id, ids + end
 
     coded = map_rows(docs, encode, "part int, doc_id long, ids binary", 200)
     dealt = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("ids"))

@@ -8,14 +8,21 @@ memory only.  Texts that hold the beginning of a special token keep their case a
 
 Another tokenizer need not be like that: what is assumed is tried on ``PROBES`` when an encoder is made, and if any of
 them comes out otherwise, every text is encoded whole.
+
+Words that are not cached go to the tokenizer many at a time.  If the vocabulary marks a word's last piece, words of
+letters are parted by blanks and cut behind the marked pieces; where these are not as many as the words, and for
+other words, special tokens part them; words that could form one are encoded alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_WORDS = 800_000
 #: Longer words are encoded but not kept.
@@ -50,24 +57,63 @@ class WordEncoder:
         # A special token may part words that are encoded together, as no word holds it.
         self.separator, self.separator_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
         self.lower = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.ends = self._ends()
         self.whole = False
         self.whole = any(self.ids(t.encode()).tolist() != self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES)
         self.words.clear()
 
+    def _ends(self) -> np.ndarray | None:
+        """Which ids are a word's last piece, if the vocabulary marks them and any byte can be one."""
+        from tokenizers import pre_tokenizers
+
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=False)
+        if not suffix or any(c + suffix not in vocab for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()), bool)
+        ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        return ends
+
     def _encoded(self, words: list[bytes]) -> list[bytes]:
-        encode = self.tokenizer.encode_batch_fast
-        if self.separator is None or any(b"<" in w for w in words):
-            return [np.array(e.ids, self.dtype).tobytes() for e in encode([w.decode() for w in words], add_special_tokens=False)]
-        texts = [self.separator.join([w.decode() for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER)]
-        out: list[bytes] = []
-        for e in encode(texts, add_special_tokens=False):
-            ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.separator_id)
-            raw, w = ids.tobytes(), self.width
-            edges = [-1, *cuts.tolist(), len(ids)]
-            out += [raw[(a + 1) * w : b * w] for a, b in zip(edges, edges[1:], strict=False)]
+        texts = [w.decode() for w in words]
+        out: list[bytes] = [b""] * len(texts)
+        letters, others, alone = [], [], []
+        for i, t in enumerate(texts):
+            if self.ends is not None and t.isalpha():
+                letters.append(i)
+            elif self.separator is None or "<" in t:
+                alone.append(i)
+            else:
+                others.append(i)
+        for group, ids in self._together(letters, texts, " "):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group):
+                self._cut(out, group, ids, [0, *cuts.tolist()], 0)
+            else:  # some word is more than one to the tokenizer
+                (alone if self.separator is None else others).extend(group)
+        for group, ids in self._together(others, texts, self.separator):
+            cuts = np.flatnonzero(ids == self.separator_id) + 1
+            if len(cuts) + 1 == len(group):
+                self._cut(out, group, ids, [0, *cuts.tolist(), len(ids) + 1], 1)
+            else:  # some word holds a special token
+                alone += group
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
+    def _together(self, at: list[int], texts: list[str], between: str | None) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Groups of ``at`` and the ids of their texts joined; few are held at once."""
+        groups = [at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)]
+        for i in range(0, len(groups), TOGETHER):
+            some = groups[i : i + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([between.join([texts[k] for k in g]) for g in some], add_special_tokens=False)
+            for group, e in zip(some, found, strict=True):
+                yield group, np.array(e.ids, self.dtype)
+
+    def _cut(self, out: list[bytes], group: list[int], ids: np.ndarray, starts: list[int], between: int) -> None:
+        raw, w = ids.tobytes(), self.width
+        for i, a, b in zip(group, starts, starts[1:], strict=False):
+            out[i] = raw[a * w : (b - between) * w]
+
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         known, marks, new = self.words, {}, []
         split: list[tuple[bytes, bytes, bytes]] = []
@@ -100,6 +146,30 @@ class WordEncoder:
             self._keep(new)
         return b"".join(found)
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column, null as empty: every distinct word is looked up once."""
+        if self.whole or not len(texts):
+            return [self.encode(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+        texts = texts.fill_null("")
+        if self.lower:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.words.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        if at:
+            new = self._learn([words[i] for i in at])
+            for i in at:
+                found[i] = new[words[i]]
+            self._keep(dict(islice(new.items(), self.cached // 2)))
+        # In place of each word its ids; they lie one after another, as the words do.
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, starts, data = ids.buffers()
+        cuts = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = data.to_pybytes() if data is not None else b""
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _keep(self, new: dict[bytes, bytes]) -> None:
         if len(self.words) + len(new) > self.cached:
             self.words = dict(islice(self.words.items(), self.cached // 2))

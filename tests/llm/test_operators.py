@@ -283,6 +283,42 @@ def test_a_tokenizer_that_is_not_by_words_is_used_on_whole_texts(tmp_path):
     assert not WordEncoder().whole
 
 
+@pytest.mark.parametrize("cached", [20, 800_000])
+def test_texts_of_a_batch_are_encoded_together(tokenizer, cached):
+    import pyarrow as pa
+    from claimgraph.llm.tokens import WordEncoder
+
+    class Counting:
+        """Passes everything on, and counts calls and texts."""
+
+        def __init__(self, inner):
+            self.inner, self.calls, self.texts = inner, 0, 0
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls, self.texts = self.calls + 1, self.texts + len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    rng = np.random.default_rng(6)
+    syllables = ["an", "ti", "qu", "\u00e9r", "\u00fcb", "sch", "\u00c9", "\u4f60", "\u0958", "\u0130", "\u1112\u1161", "O", "e\u0301", "\u00aa"]
+    ends = ["", "", "", ",", ".", ",***", "'s", "7", "|", "\u00a0x", "\x1c", "\u200d"]
+    words = ["".join(rng.choice(syllables, rng.integers(1, 6))) + str(rng.choice(ends)) for _ in range(6_000)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+    texts += [None, "", " \n\t ", " a  b\x0b\x0cc\r\n", "A<|endoftext|>B <|startoftext|> C <|", "<|END a<b", "\u0301 a \u0301b", texts[0], "x" * 300]
+    own = WordEncoder(cached=cached)
+    own.tokenizer = counting = Counting(own.tokenizer)
+    for kind in (pa.string(), pa.large_string()):
+        got = [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(pa.array(texts, kind))]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        if kind == pa.string():  # one text and one call after another before
+            assert counting.texts < len(set(words)) / 4 and counting.calls < len(texts) / 20
+    sliced = pa.array(texts)[5:9]
+    assert own.encode_all(sliced) == [own.encode((t or "").encode()) for t in texts[5:9]]
+    assert own.encode_all(pa.array([], pa.string())) == [] and own.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, u in [(0, 1), (1, 1), (1, 10**9), (1000, 1), (1000, 1000), (5000, 10**12), (700, 3)]:
